@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints
+from . import bpe, exact_dedup, fingerprints, substring_dedup, token_scan, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_char_lm_ratio": url_filter.op2_char_lm_ratio,
+        "op3_separator_scan": token_scan.op3_separator_scan,
+        "op4_level_doubling": substring_dedup.op4_level_doubling,
         "op5_bpe_codec": bpe.op5_bpe_codec,
         "op6_golomb_exchange": exact_dedup.op6_golomb_exchange,
         "op7_canonical_digest": fingerprints.op7_canonical_digest,
@@ -14,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_golomb_exchange": exact_dedup.OP6_SQL}
+    return {"op4_level_doubling": substring_dedup.OP4_SQL, "op6_golomb_exchange": exact_dedup.OP6_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, substring_dedup, token_scan, url_filter
+from . import bpe, exact_dedup, fingerprints, jaccard_join, substring_dedup, token_scan, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_bpe_codec": bpe.op5_bpe_codec,
         "op6_golomb_exchange": exact_dedup.op6_golomb_exchange,
         "op7_canonical_digest": fingerprints.op7_canonical_digest,
+        "op10_lsh_forest": jaccard_join.op10_lsh_forest,
     }
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, substring_dedup, token_scan, url_filter
+from . import bpe, exact_dedup, fingerprints, jaccard_join, substring_dedup, token_scan, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_noisy_or": toxicity.op1_noisy_or,
         "op2_char_lm_ratio": url_filter.op2_char_lm_ratio,
         "op3_separator_scan": token_scan.op3_separator_scan,
         "op4_level_doubling": substring_dedup.op4_level_doubling,

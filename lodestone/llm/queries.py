@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, substring_dedup, token_scan, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, substring_dedup, token_scan, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op5_bpe_codec": bpe.op5_bpe_codec,
         "op6_golomb_exchange": exact_dedup.op6_golomb_exchange,
         "op7_canonical_digest": fingerprints.op7_canonical_digest,
+        "op8_ipf_mix": mixing.op8_ipf_mix,
         "op10_lsh_forest": jaccard_join.op10_lsh_forest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_level_doubling": substring_dedup.OP4_SQL, "op6_golomb_exchange": exact_dedup.OP6_SQL}
+    return {"op4_level_doubling": substring_dedup.OP4_SQL, "op6_golomb_exchange": exact_dedup.OP6_SQL, "op8_ipf_mix": mixing.OP8_SQL}

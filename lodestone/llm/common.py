@@ -71,24 +71,22 @@ def partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(u, v): returns (node, label), label the least node.
 
-    Every round each node takes the least label of its neighbours, then jumps to the label of
-    its label, so chains halve. Each round is one partial aggregation and two equi-joins over
-    the edge list; labels are cut by checkpoint().
+    Every round maps each node to the least of itself and its neighbours and contracts the edges by
+    that map, so the edge list shrinks (every node that is its neighbourhood's largest vanishes) until
+    none is left. A round is one partial aggregation and equi-joins; its tables are
+    written to the shared folder, so no round's lineage reaches into the next.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).filter("u <> v").distinct()
-    both = both.checkpoint()
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")).checkpoint()
+    left = edges.select("u", "v").filter("u <> v").distinct()
+    left, _ = materialise(left, "edges")
+    labels = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("label", F.col("node"))
+    labels, _ = materialise(labels, "labels")
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("l").alias("l"))
-        )
-        step = labels.join(near, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("was"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "was").checkpoint()
-        changed = new.filter("label <> was").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        if left.isEmpty():
             return labels
+        near = left.union(left.select("v", "u")).groupBy("u").agg(F.min("v").alias("v"))
+        step, _ = materialise(near.select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "step")
+        to = lambda name: step.select(F.col("node").alias(name), F.col("to").alias(f"{name}_to"))  # noqa: B023, E731
+        left = left.join(to("u"), "u").join(to("v"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v")).filter("u <> v")
+        left, _ = materialise(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        labels, _ = materialise(labels.join(to("label"), "label", "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
     raise RuntimeError("components did not converge")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, substring_dedup, token_scan, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, pii, substring_dedup, token_scan, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_golomb_exchange": exact_dedup.op6_golomb_exchange,
         "op7_canonical_digest": fingerprints.op7_canonical_digest,
         "op8_ipf_mix": mixing.op8_ipf_mix,
+        "op9_surrogates": pii.op9_surrogates,
         "op10_lsh_forest": jaccard_join.op10_lsh_forest,
     }
 

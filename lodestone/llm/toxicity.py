@@ -252,6 +252,27 @@ def score_documents(docs: DataFrame, model: Weights | None, with_spans: bool = F
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def keep_documents(docs: DataFrame, model: Weights | None, threshold: float = PREDICT) -> DataFrame:
+    """The rows of docs(text, ...) whose score is below the threshold, all columns as they are; a
+    filter in place, without a shuffle."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                bags = Bags(part.column(place))
+                z = model.sentences(bags.feature, bags.sentence, len(bags.doc))
+                score = model.score(model.clean(z, bags.doc, bags.n_docs))
+                yield part.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     out = score_documents(docs, train(docs, labels))

@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,16 +42,6 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q] if q else text
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id -> digest of the canonical text. A map; see `verify` for bucket comparison."""
-
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: digest(canonical(t)))
-
-    return docs.select("doc_id", run("text").alias("fingerprint"))
-
-
 SCHEMA = "doc_id long, next_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, changed boolean"
 
 
@@ -148,17 +137,18 @@ def classes_of_clashes(found: DataFrame, docs: DataFrame, bits: int = 128) -> Da
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(wanted) if fits_broadcast(n, 32) else wanted.hint("merge"), "doc_id", "left_semi")
 
-    @F.pandas_udf("f string, canon string")
-    def canon_of(text: pd.Series, following: pd.Series) -> pd.DataFrame:
-        canon = [canonical(t if u is None else edit(t, u)) for t, u in zip(text, following, strict=True)]
-        return pd.DataFrame({"f": [digest(c, bits) for c in canon], "canon": canon})
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                canon = [canonical(t if u is None else edit(t, u)) for t, u in zip(part["text"].to_pylist(), part["following"].to_pylist(), strict=True)]
+                f = pa.array([digest(c, bits) for c in canon], pa.string())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["side"], f, pa.array(canon, pa.string())], ["doc_id", "side", "f", "canon"])
 
     pairs = suspects.filter("side = 1").select("doc_id", "next_id").distinct()
     edited = texts.join(pairs, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("following")), "next_id")
-    both = texts.select("doc_id", F.lit(0).alias("side"), canon_of("text", F.lit(None).cast("string")).alias("x")).union(
-        edited.select("doc_id", F.lit(1), canon_of("text", "following"))
-    )
-    both = both.select("doc_id", "side", "x.f", "x.canon")
+    both = texts.select("doc_id", F.lit(0).alias("side"), "text", F.lit(None).cast("string").alias("following")).union(edited.select("doc_id", F.lit(1), "text", "following"))
+    both = both.mapInArrow(run, "doc_id long, side int, f string, canon string")
     classes = both.groupBy("f", "canon").agg(F.count("*").alias("n"))
     clashes = classes.join(classes.groupBy("f").count().filter("count > 1"), "f", "left_semi")
     ranked = clashes.select("f", "canon", (F.row_number().over(Window.partitionBy("f").orderBy("canon")) - 1).alias("class"))

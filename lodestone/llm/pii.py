@@ -13,8 +13,8 @@ until none is left, and only these exceptions are joined back (by broadcast wher
 allows); every other replacement is computed in place, so the texts are rewritten by a map.
 
 Edge cases: null text stays null and empty text empty, both without entities; texts without entities
-come back byte for byte; patterns start and end at word edges and are possessive, so a text or word of
-any length is scanned in linear time; repeated rows are rewritten alike; a null doc_id is a key like
+come back byte for byte; patterns start and end at word edges and bound every run, so a text or word of
+any length is scanned in linear time and every entity is short; repeated rows are rewritten alike; a null doc_id is a key like
 any other; an empty table gives no rows. The operator's own columns replace equally named ones.
 """
 
@@ -56,14 +56,14 @@ SYLLABLES = {
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _TITLE = "|".join(TITLES.values())
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}+",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}" + _END + r"|(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}" + _END,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "secret": _EDGE + r"[0-9a-f]{32,}+" + _END,
+    "secret": _EDGE + r"[0-9a-f]{32,128}+" + _END,
     "card": _EDGE + r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})" + _END,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
     "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"(?<![\p{L}\p{N}])(?:" + _TITLE + r")\.? \p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?",
+    "name": r"(?<![\p{L}\p{N}])(?:" + _TITLE + r")\.? \p{Lu}\p{L}{1,40}+(?: \p{Lu}\p{L}{1,40}+)?",
 }
 #: The secret comes before the card: a run of 32 digits or more is no card.
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS)
@@ -75,7 +75,7 @@ def kind_of(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike("^[+(]"), "phone")
         .when(e.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(e.rlike("^[0-9a-f]{32,}$"), "secret")
+        .when(e.rlike("^[0-9a-f]{32,128}$"), "secret")
         .when(e.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "national")
         .when(e.rlike("^[0-9 -]+$") & (digits >= 13), "card")
         .when(e.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), "iban")
@@ -105,6 +105,11 @@ def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 512)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, (i % 64) * 2 + 1, 2), 16, 10).cast("int") + F.floor(i / 64).cast("int") * 7
 
@@ -149,7 +154,10 @@ def _check_digit(body: Column) -> Column:
 
 def core_of(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of an entity in canonical form."""
-    s = _stream(key, kind, canon, attempt)
+    return _let(_stream(key, kind, canon, attempt), lambda s: _core(s, kind, canon))
+
+
+def _core(s: Column, kind: Column, canon: Column) -> Column:
     every = F.length(canon)
     bar = F.instr(canon, "|")
     octets = F.array_join(F.array((_byte(s, F.lit(0)) % 223 + 1).cast("string"), _byte(s, F.lit(1)).cast("string"), _byte(s, F.lit(2)).cast("string"), (_byte(s, F.lit(3)) % 254 + 1).cast("string")), ".")
@@ -239,7 +247,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         m = hits.count()
         found = found.join(F.broadcast(hits) if fits_broadcast(m, 200) else hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
         attempt = lambda x: F.coalesce(F.element_at(F.col("_tries"), F.concat_ws("|", x["kind"], x["canon"])), F.lit(0))
-    made = F.transform("_found", lambda x: render(x["kind"], x["mention"], core_of(key, x["kind"], x["canon"], attempt(x))))
+    made = F.transform("_found", lambda x: _let(core_of(key, x["kind"], x["canon"], attempt(x)), lambda core: render(x["kind"], x["mention"], core)))
     found = found.withColumn("surrogates", made)
     pieces = F.split(F.col("text"), ANY, -1)
     woven = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("surrogates", i), F.lit("")))), "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def diversify(rows: list, cfg: Config = DEFAULT) -> list:
     waiting, out, docs = list(rows), [], 0
     while waiting and len(out) < cfg.max_included:
         pick = 0
-        allowed = -(-round((len(out) + 1) * cfg.docs_share * 3) // 3)
+        allowed = math.ceil((len(out) + 1) * cfg.docs_share - 1e-9)
         if waiting[0]["role"] == "docs" and docs >= allowed:
             code = [i for i, r in enumerate(waiting) if r["role"] in ("source", "test")]
             other = [i for i, r in enumerate(waiting) if r["role"] != "docs"]

@@ -199,7 +199,7 @@ def asset_like_avg_line(spark, sf):
 
 
 @query(f"""with {FILES}, g as (select case when size % 3 = 0 then replace(path, '.md', '.go') else path end as path, size, {_AVG} as a from f)
-  select path, case when size <= 5000 then 1.0 when a > 500 then 0.3 when path like '%.go' and a <= 200 then 0.6 else 0.3 end as factor from g""")
+  select path, (case when size <= 5000 then 1.0 when a > 500 then 0.3 when path like '%.go' and a <= 200 then 0.6 else 0.3 end)::double as factor from g""")
 def large_content_penalty(spark, sf):
     rows = files(spark, sf).withColumn("path", F.when(F.col("size") % 3 == 0, F.replace("path", F.lit(".md"), F.lit(".go"))).otherwise(F.col("path")))
     p, c = F.col("path"), F.col("content")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 from .hashing import U, find_words, hash_words, mix, text_buffer
 
 BITS = 18
@@ -95,14 +95,9 @@ def _logit(log_clean: np.ndarray) -> np.ndarray:
     return np.log(-np.expm1(log_clean)) - log_clean
 
 
-def select(feature, sentence, doc, label) -> np.ndarray:
-    """The features most tied to toxic documents: at most FEATURES, ascending."""
-    pairs = np.unique(doc[sentence].astype(np.int64) << BITS | feature)
-    of, f = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    size = 1 << BITS
-    n1, n0 = label.sum(), len(label) - label.sum()
-    k1 = np.bincount(f, weights=label[of], minlength=size)
-    k0 = np.bincount(f, minlength=size) - k1
+def select(k1: np.ndarray, k0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The features most tied to toxic documents, at most FEATURES, ascending; k1 and k0 count the
+    toxic and clean documents of the sample that have each feature."""
     share = (k1 + k0) / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = np.nan_to_num(k1 * np.log(k1 / (n1 * share))) + np.nan_to_num(k0 * np.log(k0 / (n0 * share)))
@@ -111,16 +106,11 @@ def select(feature, sentence, doc, label) -> np.ndarray:
     return np.sort(best[g[best] > 0])
 
 
-def fit(feature, sentence, doc, label, weight, steps: int = 150, rate: float = 0.1, l2: float = 1e-5, l1: float = 3e-5) -> Weights:
-    """Full-batch Adam on the weighted noisy-or likelihood, with proximal L1 on the features. feature
-    and sentence per occurrence, doc per sentence, label and weight per document."""
+def fit(used, small, sentence, doc, label, weight, steps: int = 150, rate: float = 0.1, l2: float = 1e-5, l1: float = 3e-5) -> Weights:
+    """Full-batch Adam on the weighted noisy-or likelihood, with proximal L1 on the features. small
+    (an index into used) and sentence per occurrence, doc per sentence, label and weight per document."""
     n_s, n_d = len(doc), len(label)
     weight = weight / weight.sum()
-    used = select(feature, sentence, doc, label)
-    number = np.full(1 << BITS, -1)
-    number[used] = np.arange(len(used))
-    have = number[feature] >= 0
-    small, sentence = number[feature[have]], sentence[have]
     w, bias = np.zeros(len(used)), -5.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -146,57 +136,93 @@ def fit(feature, sentence, doc, label, weight, steps: int = 150, rate: float = 0
 
 
 def _sample(docs: DataFrame, labels: DataFrame):
-    """(texts' bags, labels, fold) of the bounded training sample, and the classes' sizes."""
+    """The bounded sample (text, label, fold), and the classes' sizes among all training rows."""
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     rows = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    rows = rows.withColumn("fold", (key % 4).cast("int")).filter("fold <> 2")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy(F.when(F.col("label") > 0, 1).otherwise(0).alias("label")).agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("fold", (key % 4).cast("int")).filter("fold <> 2").withColumn("label", (F.col("label") > 0).cast("int"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(1), "doc_id")
-    chosen = rows.filter("label > 0").orderBy(order, "doc_id").limit(TRAIN_POSITIVE).union(rows.filter("label <= 0").orderBy(order, "doc_id").limit(TRAIN_NEGATIVE))
+    chosen = rows.filter("label = 1").orderBy(order, "doc_id").limit(TRAIN_POSITIVE).union(rows.filter("label = 0").orderBy(order, "doc_id").limit(TRAIN_NEGATIVE))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
+    return materialise(texts.select("text", "label", "fold"), "toxicity-sample")[0], sizes
+
+
+def _document_counts(sample: DataFrame) -> dict:
+    """(fold is 3, label) -> documents per feature; a task adds up its documents first."""
 
     def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            bags = Bags(batch.column(0))
-            order = np.argsort(bags.sentence, kind="stable")
-            feature, sentence = bags.feature[order], bags.sentence[order]
-            cut = np.searchsorted(bags.doc[sentence], np.arange(bags.n_docs + 1))
-            words = [feature[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            sentences = [(sentence[a:b] - sentence[a]).astype(np.int32).tobytes() if b > a else b"" for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.binary()), pa.array(sentences, pa.binary())], ["label", "fold", "words", "sentences"])
-
-    # ordered, so that float sums and thus the fitted weights do not depend on arrival
-    got = texts.select("text", "label", "fold").mapInArrow(run, "label int, fold int, words binary, sentences binary").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got["words"][i].as_py(), got["label"][i].as_py()))
-    return got.take(order) if order else got, sizes
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                bags = Bags(part.column(0))
+                pairs = np.unique(bags.doc[bags.sentence].astype(np.int64) << BITS | bags.feature)
+                of, feature = pairs >> BITS, pairs & ((1 << BITS) - 1)
+                kind = np.array([2 * (f == 3) + y for y, f in zip(part.column(1).to_pylist(), part.column(2).to_pylist())])
+                for k in np.unique(kind):
+                    table = sums.setdefault(int(k), np.zeros(1 << BITS, np.int64))
+                    table += np.bincount(feature[kind[of] == k], minlength=1 << BITS)
+        for k, table in sums.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(table[at])], ["kind", "feature", "n"])
+
+    got = sample.mapInArrow(run, "kind int, feature int, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = {k: np.zeros(1 << BITS) for k in range(4)}  # at most 4 * 2**BITS rows came
+    kind, feature, n = (got[c].to_numpy() for c in ("kind", "feature", "n"))
+    for k in counts:
+        counts[k][feature[kind == k]] = n[kind == k]
+    return counts
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Weights | None:
-    got, sizes = _sample(docs, labels)
-    label = (np.array(got["label"].to_pylist(), np.int64) > 0).astype(float)
-    if label.sum() == 0 or label.sum() == len(label):
+    sample, sizes = _sample(docs, labels)
+    have = {(r["held"], r["label"]): r["n"] for r in sample.groupBy((F.col("fold") == 3).alias("held"), "label").agg(F.count("*").alias("n")).collect()}
+    of = lambda held: [have.get((held, y), 0) for y in (0, 1)]
+    if not all(a + b for a, b in zip(of(True), of(False))):
         return None
-    fold = np.array(got["fold"].to_pylist())
-    words = [np.frombuffer(x, np.int32) for x in got["words"].to_pylist()]
-    sentences = [np.frombuffer(x, np.int32) for x in got["sentences"].to_pylist()]
+    counts = _document_counts(sample)
+    split = all(of(True)) and all(of(False))
+    n0, n1 = of(False) if split else [a + b for a, b in zip(of(True), of(False))]
+    used = select(counts[1] + (0 if split else counts[3]), counts[0] + (0 if split else counts[2]), n1, n0)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    shared = sample.sparkSession.sparkContext.broadcast(number)
+
+    def run(batches):
+        number = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                bags = Bags(part.column(0))
+                small = number[bags.feature]
+                small, sentence = small[small >= 0], bags.sentence[small >= 0]
+                order = np.argsort(sentence, kind="stable")
+                small, sentence = small[order], sentence[order]
+                cut = np.searchsorted(bags.doc[sentence], np.arange(bags.n_docs + 1))
+                first = np.searchsorted(bags.doc, np.arange(bags.n_docs + 1))
+                cols = [[small[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], [(sentence[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(cut[:-1], cut[1:], first)]]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(np.diff(first).astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["label", "fold", "n", "small", "sentence"])
+
+    # ordered, so that float sums and thus the weights do not depend on arrival
+    got = sorted(tuple(r.values()) for r in sample.mapInArrow(run, "label int, fold int, n int, small binary, sentence binary").toArrow().to_pylist())
+    label, fold = np.array([float(r[0]) for r in got]), np.array([r[1] for r in got])
 
     def bag(which):
-        counts = [int(sentences[i][-1]) + 1 if len(words[i]) else 0 for i in which]
-        base = np.cumsum([0, *counts[:-1]])
-        feature = np.concatenate([words[i] for i in which])
-        sentence = np.concatenate([sentences[i].astype(np.int64) + b for i, b in zip(which, base)])
-        return feature, sentence, np.repeat(np.arange(len(which)), counts)
+        sentences = np.array([got[i][2] for i in which])
+        base = np.cumsum(sentences) - sentences
+        small = np.concatenate([np.frombuffer(got[i][3], np.int32) for i in which])
+        sentence = np.concatenate([np.frombuffer(got[i][4], np.int32) + b for i, b in zip(which, base)])
+        return small, sentence, np.repeat(np.arange(len(which)), sentences)
 
     def weights(which):
         share = {c: sizes[c] / max(1, (label[which] == c).sum()) for c in (0, 1)}
         return np.where(label[which] > 0, share[1], share[0])
 
-    learn, tune = np.flatnonzero(fold != 3), np.flatnonzero(fold == 3)
-    if len(set(label[learn])) < 2 or len(set(label[tune])) < 2:
-        learn = tune = np.arange(len(label))
-    model = fit(*bag(learn), label[learn], weights(learn))
-    feature, sentence, doc = bag(tune)
-    x = _logit(model.clean(model.sentences(feature, sentence, len(doc)), doc, len(tune)))
+    every = np.arange(len(label))
+    learn, tune = (np.flatnonzero(fold != 3), np.flatnonzero(fold == 3)) if split else (every, every)
+    model = fit(used, *bag(learn), label[learn], weights(learn))
+    small, sentence, doc = bag(tune)
+    x = _logit(model.clean(model.sentences(used[small], sentence, len(doc)), doc, len(tune)))
     model.slope, model.shift = _logistic(x, label[tune], weights(tune))
     return model
 

@@ -59,7 +59,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}+",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}" + _END + r"|(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}" + _END,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "secret": _EDGE + r"[0-9a-f]{32,128}+" + _END,
+    "secret": _EDGE + r"[0-9a-fA-F]{32,128}+" + _END,
     "card": _EDGE + r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})" + _END,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
     "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -75,7 +75,7 @@ def kind_of(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike("^[+(]"), "phone")
         .when(e.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(e.rlike("^[0-9a-f]{32,128}$"), "secret")
+        .when(e.rlike("^[0-9a-fA-F]{32,128}$"), "secret")
         .when(e.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "national")
         .when(e.rlike("^[0-9 -]+$") & (digits >= 13), "card")
         .when(e.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), "iban")
@@ -198,6 +198,7 @@ def render(kind: Column, e: Column, core: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "national"), filled)
         .when(kind.isin("email", "iban"), cased)
+        .when(kind == "secret", F.when(e == F.upper(e), F.upper(core)).otherwise(core))
         .when(kind == "name", F.concat(title, F.regexp_replace(core, r"^\S+ \S+ ", "")))
         .otherwise(core)
     )

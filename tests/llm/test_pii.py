@@ -34,6 +34,8 @@ def test_replacements(spark):
     assert c2.replace(" ", "") == c1 and luhn(c1) and len(c1) == 16 and c3 != c1
     assert got[2]["kinds"] == ["secret", "iban", "national"]
     assert re.fullmatch("[0-9a-f]{40}", got[2]["surrogates"][0]) and got[2]["surrogates"][1].startswith("DE")
+    upper = rows(pii.replace_entities(spark.createDataFrame([(0, TEXTS[2].upper()), (1, TEXTS[2])], "doc_id long, text string")))
+    assert upper[0]["kinds"][0] == "secret" and upper[0]["surrogates"][0] == upper[1]["surrogates"][0].upper()
     names = got[3]["surrogates"]
     assert got[3]["kinds"] == ["name"] * 6
     assert names[0].split()[1] in pii.GIVEN["f", "latin"].split() and names[1].startswith("Mr ") and len(names[1].split()) == 2

@@ -119,7 +119,9 @@ def dedup_exact(docs: DataFrame, row_id: str = "doc_id") -> DataFrame:
     groups, _ = materialise(groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size"), "groups")
     if not groups.groupBy("fp", "sha").count().filter("count > 1").isEmpty():
         raise ArithmeticError("different texts share xxHash64 and SHA-256")
-    out = keyed.join(groups.join(classes, ["fp", "sha"]), ["fp", "sha"], "left")
+    # written first: the last join is then one of two plain shuffles, which Spark splits at a hot class
+    facts, _ = materialise(groups.join(classes, ["fp", "sha"]), "facts")
+    out = keyed.join(facts, ["fp", "sha"], "left")
     single = F.col("group_size").isNull()
     return out.select(
         "doc_id",

@@ -125,11 +125,15 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict = TARGETS, budget: float = BUDGET, topic: Column | None = None, seed: str = SEED) -> DataFrame:
-    """docs with topic, n_tokens, weight (of the document's cell, per token of the corpus), keep_prob
-    and sampled."""
-    keyed = with_cell(docs, topic)
+    """docs with topic (unless it has one), n_tokens, weight (of the document's cell), keep_prob and
+    sampled; the columns of docs keep their values, nulls included."""
+    own = [d for d in DIMENSIONS if d in docs.columns]
+    if topic is None and "topic" in own:
+        topic = F.col("topic")
+    keyed = with_cell(docs.withColumn("_own", F.struct(*own)), topic)
     cells, _ = materialise(calibrate(rake(cells_of(keyed), targets), budget), "calibrated")
-    return _attach(keyed, cells, cells.count(), seed)
+    out = _attach(keyed, cells, cells.count(), seed)
+    return out.withColumns({d: F.col("_own")[d] for d in own}).drop("_own")
 
 
 def _attach(keyed: DataFrame, cells: DataFrame, n: int, seed: str) -> DataFrame:

@@ -60,7 +60,7 @@ def test_explicit_targets(spark):
 
 def test_edges(spark):
     got = mx.mix(frame(spark)).collect()
-    assert len(got) == 11 and {r["source"] for r in got} == {""}
+    assert len(got) == 11 and {r["source"] for r in got} == {None}
     assert all(r["keep_prob"] is not None for r in got)
     assert mx.mix(empty(spark)).count() == 0
     blank = frame(spark, [(1, None), (2, "")])

@@ -120,3 +120,30 @@ def test_stream(spark, tmp_path):
     q.stop()
     key = lambda rows: sorted(tuple(r) for r in rows)
     assert key(spark.table("scores").collect()) == key(content_scores(df, ["authentication"]).collect())
+
+
+def test_cases_and_totals(package):
+    entry = {"repo": "demo", "group": "g", "task": "t", "files": {"src/auth/guard.py": "x", "absent.py": "y"}, "anchors": {"src/auth/guard.py": ["AuthenticationError", "nowhere"]}, "task_variants": {"short": "u"}}
+    cases = evaluate.run_cases([entry], lambda repo, task: package)
+    assert len(cases) == 2 and cases[0]["deterministic"] and cases[0]["leaks"] == 0
+    assert evaluate.totals(cases)["all"] == {"keys": 4, "in_package": 2, "in_top": 2, "anchors": 4, "anchors_found": 2, "leaks": 0}
+
+
+def test_server():
+    import io
+
+    from lodestone.server import Server
+
+    def run(task, root):
+        if not task:
+            raise ValueError("the task is empty")
+        return {"task": task, "root": root}
+
+    call = lambda i, arguments, name="get_context": {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": arguments}}
+    sent = [{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, call(3, {"task": "t"}), call(4, {}), call(5, {}, "other")]
+    out = io.StringIO()
+    Server(run).serve([json.dumps(m) for m in sent] + ["", "{"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, 5, None]
+    assert [t["name"] for t in got[1]["result"]["tools"]] == ["get_context"]
+    assert json.loads(got[2]["result"]["content"][0]["text"]) == {"task": "t", "root": "."} and got[3]["result"]["isError"] and got[4]["error"]["code"] == -32601

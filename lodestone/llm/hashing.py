@@ -8,7 +8,7 @@ import pyarrow as pa
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 18
 
 
 def _tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,6 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by a sort (np.unique hashes, which is slower on wide integers)."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")

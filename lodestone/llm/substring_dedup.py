@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, documents, materialise
-from .hashing import U, double, find_words, hash_words, rice_decode, rice_encode, text_buffer
+from .hashing import U, distinct, double, find_words, hash_words, rice_decode, rice_encode, text_buffer
 
 LENGTH = 13
 START = 7
 UNIT_BYTES = 4 << 20
 #: Windows an owner judges at once, about; sets the number of owners.
-OWNER_WINDOWS = 3_000_000
+OWNER_WINDOWS = 2_000_000
 #: Bits of a filter fingerprint beyond log2 of the number of windows.
 MARGIN = 10
 LAST = np.iinfo(np.int64).max
@@ -123,8 +123,13 @@ class Unit:
         self.doc = doc[self.places] if m else np.zeros(0, np.int64)
         self.hashes = []
         if len(self.places):
+            step = np.zeros(n + 1, np.int32)  # words inside a candidate window
+            step[self.places] += 1  # places are distinct
+            step[self.places + length] -= 1
+            inside = np.flatnonzero(np.cumsum(step[:-1]) > 0)
             for seed in seeds:
-                h, size = hash_words(self.buf, self.starts, self.ends, seed), 1
+                h, size = np.zeros(n, U), 1
+                h[inside] = self._hash(inside, seed)
                 for level in levels:
                     while size < level:
                         to = min(2 * size, level)
@@ -134,6 +139,17 @@ class Unit:
             self.hashes = [np.zeros(0, U) for _ in seeds]
 
 
+    def _hash(self, inside: np.ndarray, seed: int) -> np.ndarray:
+        """Hashes of some words; where they are few, their bytes are first brought together."""
+        starts, ends = self.starts[inside], self.ends[inside]
+        if 2 * len(inside) > len(self.starts):
+            return hash_words(self.buf, starts, ends, seed)
+        size = ends - starts
+        moved = np.cumsum(size) - size
+        bytes_ = self.buf[np.repeat(starts - moved, size) + np.arange(int(size.sum()))]
+        return hash_words(bytes_, moved, moved + size, seed)
+
+
 def _slices(values: np.ndarray, bits: int, owners: int):
     """(owner, from, to, base) of the ranges of ascending values; owners split 2**bits evenly."""
     width = (1 << bits) // owners + 1
@@ -144,7 +160,7 @@ def _slices(values: np.ndarray, bits: int, owners: int):
 
 def _groups(keys: list[np.ndarray]):
     """(order, start of each group in that order, group of each element) for equal key tuples."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     if len(order):
         new[0] = True
@@ -164,7 +180,7 @@ def _filter_send(units: DataFrame, levels: list[int], bits: int, owners: int) ->
         for batch in batches:
             for row in batch.to_pylist():
                 unit = Unit(row, levels)
-                own = np.unique(unit.hashes[0] >> U(64 - bits))
+                own = distinct(unit.hashes[0] >> U(64 - bits))
                 rows = [{"owner": o, "unit": unit.id, "n": b - a, "code": rice_encode(own[a:b] - base, bits)} for o, a, b, base in _slices(own, bits, owners)]
                 if rows:
                     yield _batch(rows, schema)
@@ -180,7 +196,7 @@ def _filter_answer(sent: DataFrame) -> DataFrame:
         rows = table.select(["unit", "owner", "n", "code"]).to_pylist()
         slices = [rice_decode(r["code"], r["n"]) for r in rows]
         whole = np.sort(np.concatenate(slices))
-        twice = np.unique(whole[1:][whole[1:] == whole[:-1]])
+        twice = distinct(whole[1:][whole[1:] == whole[:-1]])
         for r, s in zip(rows, slices):
             r["bits"] = np.packbits(_among(s, twice)).tobytes()
         return pa.Table.from_batches([_batch(rows, schema)])
@@ -316,8 +332,8 @@ def _remove(units: DataFrame, replies: DataFrame, levels: list[int], owners: int
             ids = unit.ids[unit.doc]
             later = _flags(_slices(one, 64, owners), answers, len(one))[group] | (ids > np.minimum.reduceat(ids[order], starts)[group])
             step = np.zeros(len(unit.starts) + 1, np.int32)
-            np.add.at(step, unit.places[later], 1)
-            np.add.at(step, unit.places[later] + unit.length, -1)
+            step[unit.places[later]] += 1
+            step[unit.places[later] + unit.length] -= 1
             gone = np.cumsum(step[:-1]) > 0
             for d in np.unique(unit.doc[later]):
                 a, b = unit.first[d], unit.first[d + 1]
@@ -342,13 +358,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, start: int = START, wi
     smaller doc_id. One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (and, with
     `with_text`, kept_text: null where nothing is removed)."""
     spark = docs.sparkSession
-    base, path = materialise(pack_units(docs), "units", codec="none")
-    plain, _ = materialise(base.select("unit", "n_docs", "ids", "counts", "shas", "nulls"), "plain")
+    base, _ = materialise(pack_units(docs), "units", codec="none")
+    plain = base.select("unit", "n_docs", "ids", "counts", "shas", "nulls")
     levels = levels_to(length, start)
-    units, used = base, path
+    units, used = base, None
     for i in range(1, len(levels)):
         units, new = narrow(units, levels[:i])
-        discard(spark, used)
+        if used:
+            discard(spark, used)
         used = new
     owners = max(1, -(-_size(units) // OWNER_WINDOWS))
     units = units.select(*[x.split()[0] for x in UNIT.split(", ")])

@@ -6,10 +6,13 @@ bytes, interpolated with an escape mass of 1 + sqrt(count), so an unseen context
 longest seen one. A URL no rule judges is accepted when the calibrated probability of its length-normalised
 log-likelihood difference reaches 1/2.
 
-Counts of contexts and of context-byte pairs live in a table of 2**BITS cells (hashed; a collision adds counts), so the model's size is fixed whatever the corpus: at most
-2 classes * 2 tables * 2**BITS 32-bit cells are broadcast. Counts cover every judged URL; partial
-counts are combined map-side before the shuffle. Calibration uses the URLs that a hash puts in one
-of FOLDS folds, whose counts are left out of the calibrating model, as a bounded sample of
+Counts of contexts and of context-byte pairs live in a table under exact keys (the order and the bytes
+themselves, at most 58 bits), which grows with the corpus; nothing is hashed, so no two contexts are
+added together. Counts cover every judged URL; partial counts are combined map-side before the
+shuffle. For scoring, URLs are dealt into blocks of about BLOCK_BYTES; a block asks for the distinct
+keys it needs, these are joined with the table and meet their block again, so no task, broadcast or
+driver holds more of the model than one block's keys. Calibration uses the URLs that a hash puts in
+one of FOLDS folds, whose counts are left out of the calibrating model, as a bounded sample of
 CALIBRATION rows.
 
 Edge cases: a null url, or one without "://", has empty host and path, matches no rule and is judged
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .hashing import U, mix, text_buffer
+from .hashing import text_buffer
 
 RULES = [
     ("org", "/", "allow"),
@@ -35,10 +38,14 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
+#: An exact key has room for five bytes of context.
 ORDER = 5
-BITS = 20
 FOLDS = 10
 CALIBRATION = 50_000
+#: Keys that a counting task holds before it passes them on, URL bytes of a scored block, and URLs at once.
+PENDING = 1 << 20
+BLOCK_BYTES = 1 << 18
+SLICE = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,78 +74,151 @@ def judge_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _contexts(buf: np.ndarray, offsets: np.ndarray, order: int):
-    """Per order 0..ORDER: cells of each byte's context and of the context with the byte; a context
+    """Per order 0..ORDER: exact keys of each byte's context and of the context with the byte; a context
     never reaches back over the start of its URL (it is padded by a start mark)."""
     n = len(buf)
-    value = buf.astype(U) + U(1)
+    value = buf.astype(np.int64) + 1
     place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    context = np.zeros(n, U)
-    mask = U((1 << BITS) - 1)
+    context = np.zeros(n, np.int64)
     for k in range(order + 1):
         if k:
-            back = np.zeros(n, U)
+            back = np.zeros(n, np.int64)
             back[k:] = value[:-k]
             back[place < k] = 0
-            context = context * U(0x100000001B3) + back
-        c = mix(context + U((k * 0x9E3779B97F4A7C15 + 1) % (1 << 64)))
-        yield (c & mask).astype(np.int64), (mix(c + value * U(0xC2B2AE3D27D4EB4F)) & mask).astype(np.int64)
+            context = context << 9 | back
+        key = context << 3 | k
+        yield key, key << 9 | value
+
+
+def _add_up(parts) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of a list of such pairs, each key once."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, at, np.concatenate([n for _, n in parts]))
+    return keys, counts
 
 
 def count_cells(urls: DataFrame) -> DataFrame:
-    """urls(url, label, held) -> (kind, cell, n): kind = 4 * held + 2 * label + (0 context, 1 pair).
-    Each task adds up its cells before anything is shuffled."""
+    """urls(url, label, held) -> (kind, cell, n): kind = 4 * held + 2 * label + (0 context, 1 pair), cell
+    the exact key. Each task adds up its cells, PENDING at a time, before anything is shuffled."""
 
     def run(batches):
-        size = 1 << BITS
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, list] = {}
+
+        def rows():
+            for kind, parts in sums.items():
+                keys, counts = _add_up(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], ["kind", "cell", "n"])
+
         for batch in batches:
-            label = np.asarray(batch.column(1).to_pylist(), bool)
-            held = np.asarray(batch.column(2).to_pylist(), bool)
-            for kind in range(4):
-                want = (label == bool(kind & 1)) & (held == bool(kind & 2))
-                if not want.any():
-                    continue
-                buf, offsets = text_buffer(batch.column(0).filter(pa.array(want)))
-                for context, pair in _contexts(buf, offsets, ORDER):
-                    for both, cells in ((0, context), (1, pair)):
-                        key = (kind >> 1) * 4 + (kind & 1) * 2 + both
-                        at = sums.setdefault(key, np.zeros(size, np.int64))
-                        at += np.bincount(cells, minlength=size)
-        for key, table in sums.items():
-            cell = np.flatnonzero(table)
-            for i in range(0, len(cell), 1 << 16):
-                part = cell[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key, np.int32)), pa.array(part.astype(np.int32)), pa.array(table[part])], ["kind", "cell", "n"])
-
-    return urls.mapInArrow(run, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                label = np.asarray(part.column(1).to_pylist(), bool)
+                held = np.asarray(part.column(2).to_pylist(), bool)
+                for kind in range(4):
+                    want = (label == bool(kind & 1)) & (held == bool(kind & 2))
+                    if not want.any():
+                        continue
+                    buf, offsets = text_buffer(part.column(0).filter(pa.array(want)))
+                    for context, pair in _contexts(buf, offsets, ORDER):
+                        for both, cells in ((0, context), (1, pair)):
+                            sums.setdefault(2 * kind + both, []).append(np.unique(cells, return_counts=True))
+                if sum(len(k) for parts in sums.values() for k, _ in parts) > PENDING:
+                    sums = {kind: [_add_up(parts)] for kind, parts in sums.items()}
+                    if sum(len(parts[0][0]) for parts in sums.values()) > PENDING // 2:
+                        yield from rows()
+                        sums = {}
+        yield from rows()
+
+    return urls.mapInArrow(run, "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+
+
+def count_table(urls: DataFrame) -> DataFrame:
+    """urls(url, label, held) -> (key, n0, n1, h0, h1): counts of both classes, over all URLs and over
+    those not held out. key = 2 * cell + (0 context, 1 pair)."""
+    cells = count_cells(urls)
+    of = lambda c, most: F.sum(F.when((F.col("kind") < most) & (F.col("kind").bitwiseAND(2) == 2 * c), F.col("n")).otherwise(0))
+    key = (F.col("cell") * 2 + F.col("kind") % 2).alias("key")
+    return cells.groupBy(key).agg(of(0, 8).alias("n0"), of(1, 8).alias("n1"), of(0, 4).alias("h0"), of(1, 4).alias("h1"))
+
+
+def keys_of(urls) -> np.ndarray:
+    """The distinct keys that a column of URLs needs."""
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(urls), SLICE):
+        buf, offsets = text_buffer(urls.slice(i, SLICE))
+        for context, pair in _contexts(buf, offsets, ORDER):
+            found += [np.unique(context << 1), np.unique(pair << 1 | 1)]
+    return np.unique(np.concatenate(found))
+
+
+class Counts:
+    """The counts of both classes for some keys; other keys were never seen."""
+
+    def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray):
+        order = np.argsort(keys)
+        # a last column of zeros stands for the unseen keys
+        self.keys, self.n = keys[order], np.stack([np.append(n[order], 0) for n in (n0, n1)])
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        seen = np.append(self.keys, -1)[at] == keys
+        return self.n[:, np.where(seen, at, len(self.keys))].astype(float)
 
 
 class Model:
-    """Hashed counts of one class: contexts and context-byte pairs."""
+    """The corpus's table of counts: over all URLs (n) or over those not held out (h)."""
 
-    def __init__(self, counts: dict[int, np.ndarray], label: int):
-        self.context, self.pair = counts[2 * label], counts[2 * label + 1]
+    def __init__(self, table: DataFrame, counts: str = "n"):
+        self.table = table.select("key", F.col(f"{counts}0").alias("n0"), F.col(f"{counts}1").alias("n1"))
 
+    def counts(self, urls: pa.Array) -> Counts:
+        """What a bounded array of URLs needs, on the driver."""
+        want = self.table.sparkSession.createDataFrame(pa.table({"key": keys_of(urls)}))
+        return Counts(*(c.to_numpy() for c in self.table.join(want, "key").select("key", "n0", "n1").toArrow().columns))
 
-def log_likelihood(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mean log probability per byte of each URL, interpolated over the orders."""
-    p = np.full(len(buf), 1 / 256)
+
+def log_likelihoods(counts: Counts, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per class, the mean log probability per byte of each URL, interpolated over the orders."""
+    p = np.full((2, len(buf)), 1 / 256)
     for context, pair in _contexts(buf, offsets, ORDER):
-        seen, both = model.context[context].astype(float), model.pair[pair].astype(float)
-        both = np.minimum(both, seen)
+        seen, both = counts.of(context << 1), counts.of(pair << 1 | 1)
         escape = np.minimum(seen, 1 + np.sqrt(seen))
         total = seen + escape
         mixed = (both + escape * p) / np.maximum(total, 1)
         p = np.where(seen > 0, mixed, p)
-    sums = np.concatenate([[0.0], np.cumsum(np.log(p))])
-    size = np.diff(offsets)
-    return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(size, 1)
+    sums = np.concatenate([np.zeros((2, 1)), np.cumsum(np.log(p), axis=1)], axis=1)
+    return (sums[:, offsets[1:]] - sums[:, offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
-def ratio(models, urls: pa.Array) -> np.ndarray:
+def ratio(models: Model | Counts, urls: pa.Array) -> np.ndarray:
     """Length-normalised log-likelihood difference, accepted less rejected; 0 for empty URLs."""
-    buf, offsets = text_buffer(urls)
-    return log_likelihood(models[1], buf, offsets) - log_likelihood(models[0], buf, offsets) if len(buf) else np.zeros(len(urls))
+    counts = models.counts(urls) if isinstance(models, Model) else models
+    out = [np.zeros(0)]
+    for i in range(0, len(urls), SLICE):
+        buf, offsets = text_buffer(urls.slice(i, SLICE))
+        rejected, accepted = log_likelihoods(counts, buf, offsets)
+        out.append(accepted - rejected)
+    return np.concatenate(out)
+
+
+def with_ratio(urls: DataFrame, model: Model) -> DataFrame:
+    """urls, which has a column url, with the column ratio."""
+    size = urls.agg(F.sum(F.coalesce(F.octet_length("url"), F.lit(0)) + 16)).first()[0] or 0
+    dealt = urls.withColumn("block", F.pmod(F.xxhash64(*urls.columns), F.lit(size // BLOCK_BYTES + 1)).cast("int"))
+
+    def ask(key, rows):
+        keys = keys_of(rows["url"].combine_chunks())
+        return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "key": keys})
+
+    def score(rows, found):
+        counts = Counts(*(found[c].to_numpy() for c in ("key", "n0", "n1")))
+        return rows.drop_columns("block").append_column("ratio", pa.array(ratio(counts, rows["url"].combine_chunks())))
+
+    asked = dealt.select("block", "url").groupBy("block").applyInArrow(ask, "block int, key long")
+    found = asked.join(model.table, "key").select("block", "key", "n0", "n1")
+    schema = ", ".join(f"`{n}` {t}" for n, t in urls.dtypes) + ", ratio double"
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, schema)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -158,56 +238,36 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(judged: DataFrame):
-    """(models, a, b) from judged(url, by_rule); None when a class has no URLs (see `constant`)."""
-    spark = judged.sparkSession
+    """(model, (a, b)) from judged(url, by_rule); (None, the one score) when a class has no URLs."""
     held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
     urls = judged.filter("by_rule is not null and url is not null").select("url", (F.col("by_rule") == "allow").alias("label"), held.alias("held"))
-    table = count_cells(urls)
-    table, _ = materialise(table, "counts")
-    counts = {k: np.zeros(1 << BITS, np.int64) for k in range(8)}
-    for kind in counts:  # one bounded table at a time: at most 2**BITS rows each
-        rows = table.filter(F.col("kind") == kind).select("cell", "n").toArrow()
-        counts[kind][rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    whole = {k: counts[k] + counts[k + 4] for k in range(4)}
-    full = [whole[2 * c].sum() > 0 for c in (0, 1)]
+    table, _ = materialise(count_table(urls), "counts")
+    bytes_seen = table.filter("key = 0").first()  # the context of order 0
+    full = [bytes_seen is not None and bytes_seen[f"n{c}"] > 0 for c in (0, 1)]
     if not all(full):
         return None, (1.0 if full[1] or not full[0] else 0.0)
-    sample = urls.filter("held").orderBy(F.xxhash64(F.lit(7), "url"), "label").limit(CALIBRATION).toArrow()
-    x = ratio([Model(counts, c) for c in (0, 1)], sample["url"].combine_chunks())
-    y = np.asarray(sample["label"].to_pylist(), float)
-    a, b = calibrate(x, y) if len(set(y)) == 2 else (1.0, 0.0)
-    # order 0 of the whole table bounds the counts to 32 bits per cell once halved
-    while max(int(whole[k].max()) for k in whole) >= 1 << 31:
-        whole = {k: (v + 1) >> 1 for k, v in whole.items()}
-    return [Model({k: v.astype(np.int32) for k, v in whole.items()}, c) for c in (0, 1)], (a, b)
+    sample = urls.filter("held").orderBy(F.xxhash64(F.lit(7), "url"), "label").limit(CALIBRATION)
+    sample, _ = materialise(sample.select("url", "label"), "calibration")
+    rows = with_ratio(sample, Model(table, "h")).select("ratio", "label").toArrow()
+    x, y = rows["ratio"].to_numpy(), np.asarray(rows["label"].to_pylist(), float)
+    return Model(table), calibrate(x, y) if len(set(y)) == 2 else (1.0, 0.0)
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per row of pages(page_id, url): host, path, rule, verdict, and the model's score (the
     calibrated probability of acceptance; null where a rule decides)."""
-    spark = pages.sparkSession
     judged = judge_by_rules(pages.select("page_id", "url"), rules)
-    models, rest = fit(judged)
-    shared = spark.sparkContext.broadcast((models, rest))
-
-    def run(batches):
-        models, rest = shared.value
-        for batch in batches:
-            by_rule = batch.column(5)
-            if models is None:
-                score = np.full(batch.num_rows, float(rest))
-            else:
-                score = 1 / (1 + np.exp(-np.clip(rest[0] * ratio(models, batch.column(1)) + rest[1], -30, 30)))
-            given = by_rule.is_valid().to_numpy(zero_copy_only=False)
-            verdict = [r if g else ("allow" if s >= 0.5 else "block") for r, g, s in zip(by_rule.to_pylist(), given, score)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(verdict, pa.string()), pa.array(score, pa.float64(), mask=given)],
-                ["page_id", "host", "path", "rule", "verdict", "score"],
-            )
-
-    cols = ["page_id", "url", "host", "path", "rule", "by_rule"]
-    kind = dict(pages.dtypes)["page_id"]
-    return judged.select(cols).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    model, rest = fit(judged)
+    rest_of = judged.filter("by_rule is null").drop("by_rule")
+    if model is None:
+        scored = rest_of.withColumn("score", F.lit(float(rest)))
+    else:
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), rest[0] * F.col("ratio") + rest[1]))
+        scored = with_ratio(rest_of, model).withColumn("score", 1 / (1 + F.exp(-z)))
+    verdict = F.when(F.col("score") >= 0.5, "allow").otherwise("block")
+    scored = scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    given = judged.filter("by_rule is not null").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return given.union(scored)
 
 
 def op2_char_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

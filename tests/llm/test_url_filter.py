@@ -69,3 +69,29 @@ def test_one_class_or_none(spark):
     assert verdicts(df("http://a.com/de/x", "http://a.net/")) == ["block", "block"]
     assert verdicts(df("http://a.net/", None)) == ["allow", "allow"]
     assert verdicts(df()) == []
+
+
+def test_contexts_are_never_added_together(spark):
+    """More distinct contexts than 2**20 cells could tell apart keep their own counts."""
+    rng = np.random.default_rng(5)
+    urls = ["".join(chr(c) for c in rng.integers(33, 127, 100)) for _ in range(4000)]
+    buf, offsets = uf.text_buffer(pa.array(urls))
+    text = ["\0" * 5 + u for u in urls]
+    for k, (context, pair) in enumerate(uf._contexts(buf, offsets, uf.ORDER)):
+        want = [t[i - k : i] for t in text for i in range(5, 105)]
+        assert len(np.unique(context)) == len(set(want))
+        assert len(np.unique(pair)) == len({w + t for w, t in zip(want, (c for u in urls for c in u))})
+    df = spark.createDataFrame([(u, i % 2 == 0, i % 3 == 0) for i, u in enumerate(urls)], "url string, label boolean, held boolean")
+    assert uf.count_table(df).count() == len(uf.keys_of(pa.array(urls))) > 1 << 20
+
+
+def test_blocks_and_flushes_change_nothing(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.{'org' if i % 3 else 'net'}/{'de' if i % 2 else 'es'}/{i * i % 97}") for i in range(300)]
+    rows += [(1000 + i, f"http://h{i % 5}.com/{'fr' if i % 2 else 'de'}/{i % 31}") for i in range(300)] + [(None, None), (9, "")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    key = lambda r: (r["page_id"] or -1, r["host"], r["path"], r["rule"] or "", r["verdict"], round(r["score"], 9) if r["score"] is not None else None)
+    want = sorted(map(key, uf.filter_urls(df).collect()), key=str)
+    monkeypatch.setattr(uf, "BLOCK_BYTES", 512)
+    monkeypatch.setattr(uf, "PENDING", 50)
+    monkeypatch.setattr(uf, "SLICE", 16)
+    assert len(want) == len(rows) and sorted(map(key, uf.filter_urls(df).collect()), key=str) == want

@@ -7,7 +7,7 @@ matched prefix is shortened from DEPTH until pairs at the threshold are met with
 1 - (1 - s**d)**TREES. Representatives that share such a prefix in some tree are candidates.
 
 Candidate links are followed to components, so each representative's grams are sent once, to its
-component; components of more than TILE documents (or grams) are cut into hashed tiles, and pairs of
+component, and every pair inside one is verified, whether or not it shares a prefix itself; components of more than TILE documents (or grams) are cut into hashed tiles, and pairs of
 tiles are verified where they meet. Inside a task, candidate pairs are counted by a matrix product
 over shared grams; only link counts and a spanning forest leave it, never pairs. Copies are not
 expanded: a class counts with its size.
@@ -109,7 +109,7 @@ def sketch(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_id binary, n_grams long, trees array<long>")
 
 
-def verify_tile(ids, sizes, sets, trees, side, threshold, same_tile):
+def verify_tile(ids, sizes, sets, side, threshold, same_tile):
     """Link counts and a spanning forest of one tile (same_tile) or between the two sides of a pair."""
     n = len(ids)
     counts = np.array([len(s) for s in sets])
@@ -133,13 +133,9 @@ def verify_tile(ids, sizes, sets, trees, side, threshold, same_tile):
         block[owner[lo:hi], column[lo:hi] - a] = 1
         common += block[left] @ block[right].T
     need = threshold * (counts[left][:, None] + counts[right][None, :]) / (1 + threshold)
-    near = common.astype(np.float64) >= need - 1e-6
+    link = common.astype(np.float64) >= need - 1e-6
     if same_tile:
-        near &= ids[left][:, None] != ids[right][None, :]
-    met = np.zeros(near.shape, bool)
-    for t in range(trees.shape[1]):
-        met |= trees[left, t][:, None] == trees[right, t][None, :]
-    link = near & met
+        link &= ids[left][:, None] != ids[right][None, :]
     links = np.zeros(n, np.int64)
     links[left] += (link * sizes[right][None, :]).sum(axis=1)
     if not same_tile:
@@ -160,7 +156,7 @@ def verify_tile(ids, sizes, sets, trees, side, threshold, same_tile):
     return links, edges
 
 
-def verify(members: DataFrame, docs: DataFrame, threshold: float, depth: int) -> DataFrame:
+def verify(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """members(doc_id, set_id, size, component, tiles) -> (u, v, links): v null: u has so many links;
     else an edge of the spanning forest."""
     spark = docs.sparkSession
@@ -175,17 +171,17 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float, depth: int) ->
                 part = batch.slice(i, 512)
                 sets = gram_sets(part.column(1))
                 fits = pa.array([len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, part.column(2).to_pylist())])
-                rows = [part.column(0), part.column(3), part.column(4), part.column(5), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([prefixes(s, depth).tobytes() if len(s) else b"" for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([r.filter(fits) for r in rows], ["doc_id", "size", "component", "tiles", "grams", "trees"])
+                rows = [part.column(0), part.column(3), part.column(4), part.column(5), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([r.filter(fits) for r in rows], ["doc_id", "size", "component", "tiles", "grams"])
 
-    loaded = texts.select("doc_id", "text", "set_id", "size", "component", "tiles").mapInArrow(load, "doc_id long, size long, component long, tiles int, grams binary, trees binary")
+    loaded = texts.select("doc_id", "text", "set_id", "size", "component", "tiles").mapInArrow(load, "doc_id long, size long, component long, tiles int, grams binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     dealt = loaded.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "doc_id", "size", "grams", "trees")
+    dealt = dealt.select("component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "doc_id", "size", "grams")
 
     def run(key, table):
         rows = table.combine_chunks()
-        ids, trees, grams = rows["doc_id"].to_numpy(), rows["trees"].to_pylist(), rows["grams"].to_pylist()
+        ids, grams = rows["doc_id"].to_numpy(), rows["grams"].to_pylist()
         first = {(int(d), g): i for i, (d, g) in reversed(list(enumerate(zip(ids, grams))))}  # repeated rows
         once = np.array(sorted(first.values()))
         ids, sizes, side = ids[once], rows["size"].to_numpy()[once], rows["side"].to_numpy()[once]
@@ -193,7 +189,7 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float, depth: int) ->
         same = key[1].as_py() == key[2].as_py()
         if len(ids) < 2:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        links, edges = verify_tile(ids, sizes, sets, np.stack([np.frombuffer(trees[i], U) for i in once]), side, threshold, same)
+        links, edges = verify_tile(ids, sizes, sets, side, threshold, same)
         hit = np.flatnonzero(links)
         u = [*ids[hit].tolist(), *(e[0] for e in edges)]
         v = [*[None] * len(hit), *(e[1] for e in edges)]
@@ -224,7 +220,7 @@ def join_near(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("g") / TILE_GRAMS)).cast("int")
     members = members.drop("n_grams").join(sizes.select("component", F.when((F.col("n") <= 2 * TILE) & (F.col("g") <= 2 * TILE_GRAMS), 1).otherwise(tiles).alias("tiles")), "component")
     members, _ = materialise(members, "members")
-    found, _ = materialise(verify(members, docs, threshold, depth), "links")
+    found, _ = materialise(verify(members, docs, threshold), "links")
     links = found.filter("v is null").groupBy(F.col("u").alias("rep_id")).agg(F.sum("links").alias("links"))
     # repeated ids with different texts join their classes
     twins = known.groupBy("doc_id").agg(F.countDistinct("set_id").alias("k")).filter("k > 1").join(known, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("u"), F.col("rep_id").alias("v"))

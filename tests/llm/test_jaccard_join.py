@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from lodestone.llm import jaccard_join as jj
 
 from .cases import empty, frame
@@ -89,3 +91,22 @@ def test_shuffled_join_where_members_are_too_many(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(common, "fits_broadcast", lambda *a: False)
     assert result(jj.join_near(df)) == brute(rows)
+
+
+def test_verified_links_need_no_shared_prefix(spark, monkeypatch):
+    """Near copies that meet through others only: every pair at the threshold is a link all the same."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(150)], w[rng.randrange(150)] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    sets, trees = [grams(t) for _, t in rows], [jj.prefixes(s, jj.DEPTH) for s in jj.gram_sets(pa.array([t for _, t in rows]))]
+    unmet = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and not (trees[i] == trees[j]).any()]
+    assert unmet
+    for tile in (256, 8):
+        monkeypatch.setattr(jj, "TILE", tile)
+        assert result(jj.join_near(df, recall=0.0)) == want

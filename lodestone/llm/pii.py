@@ -13,8 +13,10 @@ until none is left, and only these exceptions are joined back (by broadcast wher
 allows); every other replacement is computed in place, so the texts are rewritten by a map.
 
 Edge cases: null text stays null and empty text empty, both without entities; texts without entities
-come back byte for byte; patterns start and end at word edges and bound every run, so a text or word of
-any length is scanned in linear time and every entity is short; repeated rows are rewritten alike; a null doc_id is a key like
+come back byte for byte; patterns start and end at word edges and take runs possessively, so a text or word of
+any length is scanned in linear time; hex runs and names are of any length (a run of over 128 characters
+without a digit is no secret; one with any is replaced by hex digits without regard to which are letters), a grouped IBAN equals the same one without spaces; a lower-case particle
+ends a name; repeated rows are rewritten alike; a null doc_id is a key like
 any other; an empty table gives no rows. The operator's own columns replace equally named ones.
 """
 
@@ -55,15 +57,23 @@ SYLLABLES = {
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _TITLE = "|".join(TITLES.values())
+#: A capitalised word with its parts after hyphens and apostrophes (not a possessive 's).
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|-(?=\p{L})|['’](?=\p{Lu}|\p{L}{2}))++"
+#: An IBAN in groups of four; the last group has a digit (words in capitals may follow), but for the two
+#: countries whose IBANs end in a currency.
+_GROUPED = (
+    r"MU[0-9]{2}(?: [A-Z0-9]{4}){6} [A-Z]{2}|SC[0-9]{2}(?: [A-Z0-9]{4}){6} [A-Z]{3}"
+    r"|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2}(?:(?: [A-Z0-9]{4}){1,5} (?=[A-Z]{0,3}[0-9])[A-Z0-9]{1,4}| (?=[A-Z]{0,3}[0-9])[A-Z0-9]{3,4})"
+)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}+",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}" + _END + r"|(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}" + _END,
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "secret": _EDGE + r"[0-9a-fA-F]{32,128}+" + _END,
+    "secret": _EDGE + r"(?:[0-9a-fA-F]{32,128}+|(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{129,}+)" + _END,
     "card": _EDGE + r"(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})" + _END,
-    "iban": _EDGE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END,
+    "iban": _EDGE + r"(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + _GROUPED + ")" + _END,
     "national": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"(?<![\p{L}\p{N}])(?:" + _TITLE + r")\.? \p{Lu}\p{L}{1,40}+(?: \p{Lu}\p{L}{1,40}+)?",
+    "name": r"(?<![\p{L}\p{N}])(?:" + _TITLE + r")\.? " + _WORD + "(?: " + _WORD + ")*+",
 }
 #: The secret comes before the card: a run of 32 digits or more is no card.
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in PATTERNS)
@@ -75,10 +85,10 @@ def kind_of(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike("^[+(]"), "phone")
         .when(e.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(e.rlike("^[0-9a-fA-F]{32,128}$"), "secret")
+        .when(e.rlike("^[0-9a-fA-F]{32,}$"), "secret")
         .when(e.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "national")
         .when(e.rlike("^[0-9 -]+$") & (digits >= 13), "card")
-        .when(e.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), "iban")
+        .when(e.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$"), "iban")
         .otherwise("name")
     )
 
@@ -96,6 +106,7 @@ def canonical_of(kind: Column, e: Column) -> Column:
         F.when(kind == "phone", F.concat(country, F.lit("|"), rest))
         .when((kind == "card") | (kind == "national"), F.regexp_replace(e, "[^0-9]", ""))
         .when(kind == "name", F.concat(group, F.lit(" "), words))
+        .when(kind == "iban", F.lower(F.regexp_replace(e, " ", "")))
         .otherwise(F.lower(e))
     )
 
@@ -139,6 +150,13 @@ def _in_shape(stream: Column, text: Column, fixed_from: Column, letters: str = _
     return F.array_join(F.transform(_chars(text), one), "")
 
 
+def _long_hex(stream: Column, text: Column) -> Column:
+    """As many hex digits as the text has, of repeated digests; decimal ones where it has no others."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 128).cast("int")), lambda j: F.sha2(F.concat_ws("|", stream, j.cast("string")), 512))
+    made = F.substring(F.array_join(blocks, ""), F.lit(1), F.length(text))
+    return F.when(text.rlike("^[0-9]+$"), F.translate(made, "abcdef", "012345")).otherwise(made)
+
+
 def _check_digit(body: Column) -> Column:
     """The Luhn digit that completes a body of digits."""
     n = F.length(body)
@@ -176,6 +194,7 @@ def _core(s: Column, kind: Column, canon: Column) -> Column:
         F.when(kind == "email", _in_shape(s, canon, host_end))
         .when(kind == "phone", F.concat(F.substring(canon, F.lit(1), bar), _in_shape(s, tail, F.length(tail))))
         .when(kind == "ip", octets)
+        .when((kind == "secret") & (every > 128), _long_hex(s, canon))
         .when(kind == "secret", _in_shape(s, canon, every, _HEX))
         .when(kind == "card", card)
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _in_shape(s, F.substring(canon, F.lit(3), every), every)))
@@ -195,9 +214,11 @@ def render(kind: Column, e: Column, core: Column) -> Column:
     filled = F.aggregate(_chars(e), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), fill, lambda a: a["out"])
     cased = F.array_join(F.transform(_chars(core), lambda c, i: F.when(F.substring(e, i + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(e, r"^(\S+ )", 1)
+    fours = F.trim(F.regexp_replace(F.upper(core), "(.{4})", "$1 "))
     return (
         F.when(kind.isin("phone", "card", "national"), filled)
-        .when(kind.isin("email", "iban"), cased)
+        .when(kind == "email", cased)
+        .when(kind == "iban", F.when(e.contains(" "), fours).otherwise(F.upper(core)))
         .when(kind == "secret", F.when(e == F.upper(e), F.upper(core)).otherwise(core))
         .when(kind == "name", F.concat(title, F.regexp_replace(core, r"^\S+ \S+ ", "")))
         .otherwise(core)

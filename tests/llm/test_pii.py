@@ -1,3 +1,4 @@
+import random
 import re
 
 import regex
@@ -103,3 +104,28 @@ def test_edges(spark):
     assert pii.replace_entities(empty(spark)).count() == 0
     long = frame(spark, [(1, "a" * 200_000 + " " + "1" * 200_000 + " x@y.zw")])
     assert pii.replace_entities(long).first()["n_entities"] in (1, 2)
+
+
+def test_long_and_grouped_entities_leave_nothing(spark):
+    key = "".join(random.Random(4).choice("0123456789abcdef") for _ in range(4096))
+    cases = [
+        (f"key {key}.", ["secret"], [key[:129], key[-40:]]),
+        (f"key {key[:129].upper()} and {key[:129]}", ["secret", "secret"], [key[:129]]),
+        ("Mr Juan Carlos Garcia met Mrs Anna Schmidt-Weber.", ["name", "name"], ["Juan", "Carlos", "Garcia", "Anna", "Schmidt", "Weber"]),
+        ("Mr O'Neil and Dr. D’Angelo saw Mr Miller's car", ["name", "name", "name"], ["Neil", "Angelo", "Miller"]),
+        ("to DE89 3704 0044 0532 0130 00 EUR 5 or DE89370400440532013000", ["iban", "iban"], ["DE89", "3704 0044", "37040044"]),
+        ("AT61 1904 3002 3457 3201 FROM BANK, NO93 8601 1117 947, MT84 MALT 0110 0001 2345 MTLC AST0 01S", ["iban"] * 3, ["1904 3002", "3457 3201", "8601 1117 947", "MALT", "MTLC", "AST0"]),
+        ("MU17 BOMM 0101 1010 3030 0200 000M UR", ["iban"], ["BOMM", "000M UR"]),
+        ("M" + "r " + "A" + "b" * 60, ["name"], ["bb"]),
+    ]
+    got = rows(pii.replace_entities(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")))
+    for i, (text, kinds, gone) in enumerate(cases):
+        assert got[i]["kinds"] == kinds, text
+        assert not [g for g in gone if g.lower() in got[i]["text"].lower()], (text, got[i]["text"])
+    s = got[0]["surrogates"][0]
+    assert len(s) == 4096 and re.fullmatch("[0-9a-f]+", s)
+    a, b = got[1]["surrogates"]
+    assert a == b.upper()
+    a, b = got[4]["surrogates"]
+    assert a.replace(" ", "") == b and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", a) and "EUR 5 or" in got[4]["text"]
+    assert "FROM BANK" in got[5]["text"] and "'s car" in got[3]["text"]

@@ -95,3 +95,12 @@ def test_blocks_and_flushes_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(uf, "PENDING", 50)
     monkeypatch.setattr(uf, "SLICE", 16)
     assert len(want) == len(rows) and sorted(map(key, uf.filter_urls(df).collect()), key=str) == want
+
+
+def test_large_counts_are_not_halved(spark, monkeypatch):
+    real = uf.count_cells
+    monkeypatch.setattr(uf, "count_cells", lambda urls: real(urls).withColumn("n", F.when(F.col("cell") == 0, F.col("n") * (1 << 31)).otherwise(F.col("n"))))
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://a.com/de/x")], "page_id long, url string")
+    counts = uf.fit(uf.judge_by_rules(df))[0].counts(pa.array(["http://a.org/x"]))
+    assert counts.of(np.array([0]))[1, 0] == 14 * 2**31
+    assert counts.n[1][counts.n[1] > 0].min() == 1

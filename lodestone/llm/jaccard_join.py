@@ -2,9 +2,10 @@
 
 Each document is the set of its 5-grams of words (a document of 1 to 4 words is one gram of all its
 words). Documents of equal sets form one class, represented by its least doc_id. A representative
-has TREES signatures of DEPTH minhashes; a tree sorts the representatives by their signature, and the
-matched prefix is shortened from DEPTH until pairs at the threshold are met with the target recall,
-1 - (1 - s**d)**TREES. Representatives that share such a prefix in some tree are candidates.
+has TREES signatures. The matched prefix d is worked out once, shortened from DEPTH until pairs at the
+threshold are met with the target recall, 1 - (1 - s**d)**TREES; only its d minhashes are computed, and
+representatives are grouped by its hash: a forest cut at depth d, with nothing sorted and no trie built.
+Representatives that share such a prefix in some tree are candidates.
 
 Candidate links are followed to components, so each representative's grams are sent once, to its
 component, and every pair inside one is verified, whether or not it shares a prefix itself; components of more than TILE documents (or grams) are cut into hashed tiles, and pairs of

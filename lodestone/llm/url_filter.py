@@ -13,7 +13,7 @@ shuffle. For scoring, URLs are dealt into blocks of about BLOCK_BYTES; a block a
 keys it needs, these are joined with the table and meet their block again, so no task, broadcast or
 driver holds more of the model than one block's keys. Calibration uses the URLs that a hash puts in
 one of FOLDS folds, whose counts are left out of the calibrating model, as a bounded sample of
-CALIBRATION rows.
+CALIBRATION distinct URLs, each weighted by its rows.
 
 Edge cases: a null url, or one without "://", has empty host and path, matches no rule and is judged
 by the model on its (empty or whole) string; where only one class has URLs every other URL takes that
@@ -221,15 +221,15 @@ def with_ratio(urls: DataFrame, model: Model) -> DataFrame:
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, schema)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic a * x + b by Newton steps with a weak prior on a > 0."""
-    scale = max(float(np.std(x)), 1e-6)
+    scale = max(float(np.sqrt(np.cov(x, aweights=weight, ddof=0))), 1e-6)
     z, w = x / scale, np.array([1.0, 0.0])
     design = np.stack([z, np.ones_like(z)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (p - y) + 1e-2 * (w - [1.0, 0.0])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        grad = design.T @ (weight * (p - y)) + 1e-2 * (w - [1.0, 0.0])
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -246,11 +246,11 @@ def fit(judged: DataFrame):
     full = [bytes_seen is not None and bytes_seen[f"n{c}"] > 0 for c in (0, 1)]
     if not all(full):
         return None, (1.0 if full[1] or not full[0] else 0.0)
-    sample = urls.filter("held").orderBy(F.xxhash64(F.lit(7), "url"), "label").limit(CALIBRATION)
-    sample, _ = materialise(sample.select("url", "label"), "calibration")
-    rows = with_ratio(sample, Model(table, "h")).select("ratio", "label").toArrow()
+    distinct = urls.filter("held").groupBy("url", "label").agg(F.count("*").alias("weight"))
+    sample, _ = materialise(distinct.orderBy(F.xxhash64(F.lit(7), "url"), "url", "label").limit(CALIBRATION), "calibration")
+    rows = with_ratio(sample, Model(table, "h")).select("ratio", "label", "weight").toArrow()
     x, y = rows["ratio"].to_numpy(), np.asarray(rows["label"].to_pylist(), float)
-    return Model(table), calibrate(x, y) if len(set(y)) == 2 else (1.0, 0.0)
+    return Model(table), calibrate(x, y, rows["weight"].to_numpy().astype(float)) if len(set(y)) == 2 else (1.0, 0.0)
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:

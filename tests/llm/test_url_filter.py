@@ -104,3 +104,12 @@ def test_large_counts_are_not_halved(spark, monkeypatch):
     counts = uf.fit(uf.judge_by_rules(df))[0].counts(pa.array(["http://a.org/x"]))
     assert counts.of(np.array([0]))[1, 0] == 14 * 2**31
     assert counts.n[1][counts.n[1] > 0].min() == 1
+
+
+def test_copies_of_one_url_do_not_fill_the_calibration(spark, monkeypatch):
+    rows = [(i, f"http://h{i}.{'org/en/' if i % 2 else 'com/de/'}{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    first = df.filter(F.pmod(F.xxhash64("url"), F.lit(uf.FOLDS)) == 0).orderBy(F.xxhash64(F.lit(7), "url")).first()["url"]
+    monkeypatch.setattr(uf, "CALIBRATION", 100)
+    both = uf.judge_by_rules(df.union(spark.createDataFrame([(1000 + i, first) for i in range(300)], "page_id long, url string")))
+    assert uf.fit(both)[1] != (1.0, 0.0)

@@ -1,16 +1,25 @@
 """Near-duplicate join: MinHash LSH forest over word 5-grams, then exact Jaccard verification.
 
 Each document is the set of its 5-grams of words (a document of 1 to 4 words is one gram of all its
-words). Documents of equal sets form one class, represented by its least doc_id. A representative
-has TREES signatures. The matched prefix d is worked out once, shortened from DEPTH until pairs at the
-threshold are met with the target recall, 1 - (1 - s**d)**TREES; only its d minhashes are computed, and
-representatives are grouped by its hash: a forest cut at depth d, with nothing sorted and no trie built.
-Representatives that share such a prefix in some tree are candidates.
-
-Candidate links are followed to components, so each representative's grams are sent once, to its
-component, and every pair inside one is verified, whether or not it shares a prefix itself; components of more than TILE documents (or grams) are cut into hashed tiles, and pairs of
-tiles are verified where they meet. Inside a task, candidate pairs are counted by a matrix product
-over shared grams; only link counts and a spanning forest leave it, never pairs. Copies are not
+words). Documents of equal sets form one class, represented by its least doc_id. A representative has
+TREES paths of DEPTH minhashes (16 bits each); a tree is the trie of these paths.
+
+The forest is walked from the leaves up. Subtrees at the shortest prefix that may be needed
+(`shortest_prefix`, from the target recall at the threshold) are dealt out by hash; in a task the paths
+of a subtree are sorted, and the runs of neighbours whose longest common prefix reaches d are the trie's
+nodes of depth d. Starting at the whole path, each representative compares itself with the others of its
+node and shortens its matched prefix by one until its own recall, estimated from the partners found
+(each stands for 1/p of its likeness, p = 1 - (1 - s**d)**TREES), reaches the target; without partners it
+goes down to the shortest prefix. Candidates are compared by their whole signatures (TREES * DEPTH
+minhashes), and go on when their estimated Jaccard is at most SLACK below the threshold (five standard
+errors), so unlike texts that share some boilerplate form no chains. Subtrees of more than TILE paths
+are cut into hashed tiles, and pairs of tiles are walked where they meet.
+
+What is left of the candidates is followed to components, so each representative's grams are sent once,
+to its component, and every pair inside one is verified exactly, whether or not it met in a tree.
+Components are cut into tiles in the same way, of about the square root of their size (up to TILE), so
+that the copies sent and the work of a task grow alike. Candidate pairs are counted by a matrix product
+over shared grams; only link counts and a spanning forest leave a task, never pairs. Copies are not
 expanded: a class counts with its size.
 
 Result, one row per row of docs: doc_id, class_id (least doc_id of the connected documents of the
@@ -20,7 +29,7 @@ verified links), rep_id (least doc_id with the same grams), n_links (other docum
 Edge cases: words are the runs of characters outside white space, unchanged; null, empty and blank
 texts have no grams and are linked to nothing, each its own class; rows without doc_id are returned
 unlinked; rows of one doc_id with different texts share their links and their class; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored; texts are read SLICE_BYTES at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, join_small, materialise, partitions
+from .common import components, discard, documents, join_small, materialise, slices
 from .hashing import U, find_words, hash_words, mix, text_buffer
 
 GRAM = 5
@@ -38,19 +47,26 @@ THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
 RECALL = 0.999
-#: Documents and grams of a tile.
-TILE = 256
+#: Five standard errors of a likeness of 0.8 estimated from TREES * DEPTH minhashes.
+SLACK = 5 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
+#: Documents and grams of a tile, at most.
+TILE = 2048
 TILE_GRAMS = 2_000_000
 
 _RNG = np.random.default_rng(2024)
-_MULTIPLY = _RNG.integers(1, 1 << 63, TREES * DEPTH, dtype=U) * U(2) + U(1)
-_ADD = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=U)
+_MULTIPLY = _RNG.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
-def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int:
-    """Shorten the prefix from DEPTH until a pair at the threshold is met with the target recall."""
+def chance(s, depth: int, trees: int = TREES):
+    """Probability that a pair of likeness s shares a prefix of `depth` in some tree."""
+    return 1 - (1 - s**depth) ** trees
+
+
+def shortest_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The prefix at which even pairs at the threshold are met with the target recall."""
     depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and chance(threshold, depth) < recall:
         depth -= 1
     return depth
 
@@ -78,36 +94,131 @@ def gram_sets(texts: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
     return out
 
 
-def prefixes(grams: np.ndarray, depth: int) -> np.ndarray:
-    """One hash per tree of the first `depth` minhashes of its signature."""
-    least = np.full(TREES * depth, np.iinfo(np.uint64).max, U)
-    use = np.concatenate([np.arange(t * DEPTH, t * DEPTH + depth) for t in range(TREES)])
-    times, plus = _MULTIPLY[use][:, None], _ADD[use][:, None]
-    for i in range(0, len(grams), 512):
-        np.minimum(least, (times * grams[None, i : i + 512] + plus).min(axis=1), out=least)
-    out = np.zeros(TREES, U)
-    for column in least.reshape(TREES, depth).T:
-        out = mix(out * U(0xC2B2AE3D27D4EB4F) + column)
-    return out
+def signature(grams: np.ndarray) -> np.ndarray:
+    """TREES * DEPTH minhashes of 16 bits, tree after tree."""
+    low = (grams >> U(32)).astype(np.uint32)
+    least = np.full(TREES * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    times, plus = _MULTIPLY[:, None], _ADD[:, None]
+    for i in range(0, len(low), 512):
+        np.minimum(least, (times * low[None, i : i + 512] + plus).min(axis=1), out=least)
+    return (mix(least.astype(U)) >> U(48)).astype(np.uint16)
 
 
-def sketch(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id -> set_id (128-bit hash of the gram set), n_grams and the trees' prefixes."""
+def sketch(docs: DataFrame) -> DataFrame:
+    """doc_id -> set_id (128-bit hash of the gram set), n_grams and sig, the big-endian signature."""
     import xxhash  # noqa: F401  (fails early on the driver where it is missing)
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 1):
                 sets = gram_sets(part.column(1))
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                sizes = [len(s) for s in sets]
-                trees = [prefixes(s, depth).view(np.int64) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], ["doc_id", "set_id", "n_grams", "trees"])
+                sigs = [signature(s).astype(">u2").tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "set_id", "n_grams", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_id binary, n_grams long, sig binary")
+
+
+class Groups:
+    """Connected groups of 0..n-1 and the edges that joined them."""
+
+    def __init__(self, n: int):
+        self.of, self.edges = np.arange(n), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Link i with each of `others`."""
+        groups, at = np.unique(self.of[others], return_index=True)
+        new = groups != self.of[i]
+        if new.any():
+            self.edges += [(i, int(j)) for j in others[at[new]]]
+            self.of[np.isin(self.of, groups[new])] = self.of[i]
+
+
+def walk(paths: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, shortest: int, threshold: float, recall: float) -> list[tuple[int, int]]:
+    """A spanning forest of the candidates of one subtree: paths (n, DEPTH) and sigs (n, TREES * DEPTH).
+    With `side` (0 or 1 per row) only pairs of different sides are compared."""
+    order = np.lexsort(paths.T[::-1])
+    paths, sigs = paths[order], sigs[order]
+    side = None if side is None else side[order]
+    n, places = len(order), sigs.shape[1]
+    same = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(axis=1)  # longest common prefix with the row before
+    likeness = np.arange(places + 1) / places
+    seen = np.flatnonzero(likeness >= max(threshold - SLACK, 0.5 / places))  # likenesses of candidates
+    partners = np.zeros((n, places + 1), np.int64)  # of each row, by the number of equal minhashes
+    active, groups, inner = np.ones(n, bool), Groups(n), np.arange(n)
+    for depth in range(DEPTH, shortest - 1, -1):
+        node = np.concatenate([[0], np.cumsum(same < depth)])
+        ends = np.append(np.flatnonzero(np.diff(node, prepend=-1)), n)
+        for a, b in zip(ends[:-1], ends[1:]):
+            if b - a < 2:
+                continue
+            for i in np.flatnonzero(active[a:b]) + a:
+                fits = inner[a:b] != inner[i] if depth < DEPTH else np.arange(a, b) > i
+                # a pair of active rows is compared from its first row
+                fits &= ~active[a:b] | (np.arange(a, b) > i)
+                if side is not None:
+                    fits &= side[a:b] != side[i]
+                others = np.flatnonzero(fits) + a
+                if not len(others):
+                    continue
+                equal = (sigs[others] == sigs[i]).sum(axis=1)
+                near = equal >= seen[0]
+                others, equal = others[near], equal[near]
+                if len(others):
+                    groups.join(i, others)
+                    np.add.at(partners[i], equal, 1)
+                    partners[others, equal] += 1
+        found = partners.sum(axis=1)
+        expected = (partners[:, seen] / chance(likeness[seen], depth)).sum(axis=1)
+        active &= (found == 0) | (found < recall * expected)
+        inner = node
+    return [(int(order[i]), int(order[j])) for i, j in groups.edges]
+
+
+def _tiled(rows: DataFrame, key: str) -> DataFrame:
+    """rows(..., doc_id, tiles) dealt to (key, a, b): every pair of tiles meets; `side` tells them apart."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    dealt = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    columns = [c for c in rows.columns if c not in (key, "tiles")]
+    return dealt.select(key, F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"), *columns)
+
+
+def _tiles(n, grams=None):
+    """Into how many tiles n documents (of `grams` grams) are cut: about sqrt(12 n) documents each."""
+    size = F.least(F.lit(TILE), F.greatest(F.lit(64), F.ceil(F.sqrt(12 * n))))
+    parts = F.when(n <= min(128, TILE), 1).otherwise(F.ceil(n / size))
+    if grams is not None:
+        parts = F.greatest(parts, F.ceil(grams / TILE_GRAMS))
+    return parts.cast("int")
+
+
+def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """reps(rep_id, sig) -> edges (u, v): a spanning forest of the candidates of every subtree."""
+    shortest = shortest_prefix(threshold, recall)
+    trees = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * DEPTH} + 1, {2 * shortest})))")
+    leaves = reps.select("rep_id", F.posexplode(trees).alias("tree", "trie"))
+    tries = leaves.groupBy("trie").agg(F.count("*").alias("n")).filter("n > 1").select("trie", _tiles(F.col("n")).alias("tiles"))
+    leaves, path = materialise(leaves.join(tries, "trie"), "leaves")
+    several = leaves.select("rep_id").distinct()
+    several, path2 = materialise(reps.join(several, "rep_id", "left_semi").select("rep_id", "sig"), "signatures")
+    dealt = join_small(leaves, several, "rep_id", "inner", several.count(), 2 * TREES * DEPTH + 64)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set_id binary, n_grams long, trees array<long>")
+    def run(key, table):
+        table = table.combine_chunks()
+        ids, tree = table["doc_id"].to_numpy(), table["tree"].to_numpy()
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), -1)
+        paths = sigs.reshape(len(ids), TREES, DEPTH)[np.arange(len(ids)), tree]
+        side = None if key[1].as_py() == key[2].as_py() else table["side"].to_numpy()
+        edges = walk(paths, sigs, side, shortest, threshold, recall)
+        return pa.table({"u": pa.array([int(ids[i]) for i, _ in edges], pa.int64()), "v": pa.array([int(ids[j]) for _, j in edges], pa.int64())})
+
+    met = _tiled(dealt.withColumnRenamed("rep_id", "doc_id"), "trie").groupBy("trie", "a", "b").applyInArrow(run, "u long, v long")
+    edges, _ = materialise(met.distinct(), "candidates")
+    for p in (path, path2):
+        discard(reps.sparkSession, p)
+    return edges
 
 
 def verify_tile(ids, sizes, sets, side, threshold, same_tile):
@@ -141,20 +252,11 @@ def verify_tile(ids, sizes, sets, side, threshold, same_tile):
     links[left] += (link * sizes[right][None, :]).sum(axis=1)
     if not same_tile:
         links[right] += (link * sizes[left][:, None]).sum(axis=0)
-    edges, parent = [], list(range(n))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in zip(*np.nonzero(link)):
-        a, b = root(int(left[i])), root(int(right[j]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(ids[left[i]]), int(ids[right[j]])))
-    return links, edges
+    groups = Groups(n)
+    for i, row in zip(left, link):
+        if row.any():
+            groups.join(int(i), right[row])
+    return links, [(int(ids[i]), int(ids[j])) for i, j in groups.edges]
 
 
 def verify(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -168,17 +270,14 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 1):
                 sets = gram_sets(part.column(1))
                 fits = pa.array([len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(sets, part.column(2).to_pylist())])
                 rows = [part.column(0), part.column(3), part.column(4), part.column(5), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([r.filter(fits) for r in rows], ["doc_id", "size", "component", "tiles", "grams"])
 
     loaded = texts.select("doc_id", "text", "set_id", "size", "component", "tiles").mapInArrow(load, "doc_id long, size long, component long, tiles int, grams binary")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    dealt = loaded.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "doc_id", "size", "grams")
+    dealt = _tiled(loaded, "component")
 
     def run(key, table):
         rows = table.combine_chunks()
@@ -202,26 +301,20 @@ def verify(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 def join_near(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, class_id, rep_id, n_links."""
     spark = docs.sparkSession
-    depth = matched_depth(threshold, TREES, recall)
-    sketches, _ = materialise(sketch(docs, depth), "sketches")
+    sketches, _ = materialise(sketch(docs), "sketches")
     known = sketches.filter("set_id is not null and doc_id is not null")
     # documents of equal gram sets: one representative with the class's size
-    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("size"), F.first("n_grams").alias("n_grams"))
-    classes, _ = materialise(classes, "classes")
-    # one row per tree and representative; representatives of several sets (repeated ids) share a node
-    reps = known.join(classes.select("set_id", "rep_id", "size"), "set_id").filter("doc_id = rep_id").dropDuplicates(["set_id"])
-    leaves = reps.select("rep_id", F.posexplode("trees").alias("tree", "prefix"))
-    # the least node of each prefix; every other node that shares it gets an edge to it
-    heads = leaves.groupBy("tree", "prefix").agg(F.min("rep_id").alias("head"), F.max("rep_id").alias("last")).filter("head <> last")
-    edges = leaves.join(heads, ["tree", "prefix"]).filter("rep_id <> head").select(F.col("rep_id").alias("u"), F.col("head").alias("v")).distinct()
-    edges, _ = materialise(edges, "candidates")
-    groups = components(edges)
+    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("size"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig"))
+    reps, _ = materialise(classes, "classes")
+    classes = reps.select("set_id", "rep_id", "size")
+    # representatives of several sets (repeated ids) share a node
+    groups = components(candidates(reps, threshold, recall))
     members = reps.select("rep_id", "set_id", "size", "n_grams").join(groups, F.col("rep_id") == F.col("node")).select(F.col("rep_id").alias("doc_id"), "set_id", "size", "n_grams", F.col("label").alias("component"))
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
-    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("g") / TILE_GRAMS)).cast("int")
-    members = members.drop("n_grams").join(sizes.select("component", F.when((F.col("n") <= 2 * TILE) & (F.col("g") <= 2 * TILE_GRAMS), 1).otherwise(tiles).alias("tiles")), "component")
-    members, _ = materialise(members, "members")
-    found, _ = materialise(verify(members, docs, threshold), "links")
+    members = members.drop("n_grams").join(sizes.select("component", _tiles(F.col("n"), F.col("g")).alias("tiles")), "component")
+    members, path = materialise(members, "members")
+    found, found_path = materialise(verify(members, docs, threshold), "links")
+    discard(spark, path)
     links = found.filter("v is null").groupBy(F.col("u").alias("rep_id")).agg(F.sum("links").alias("links"))
     # repeated ids with different texts join their classes
     twins = known.groupBy("doc_id").agg(F.countDistinct("set_id").alias("k")).filter("k > 1").join(known, "doc_id").join(classes, "set_id").select(F.col("doc_id").alias("u"), F.col("rep_id").alias("v"))
@@ -229,6 +322,7 @@ def join_near(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     facts = classes.join(links, "rep_id", "left").join(linked, "rep_id", "left")
     facts = facts.select("set_id", "rep_id", F.coalesce("label", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     facts, _ = materialise(facts, "facts")
+    discard(spark, found_path)
     return sketches.select("doc_id", "set_id").join(facts, "set_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

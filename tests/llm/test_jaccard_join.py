@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 from lodestone.llm import jaccard_join as jj
@@ -68,12 +69,60 @@ def test_tiles_lose_no_link(spark, monkeypatch):
         assert result(jj.join_near(df)) == want
 
 
-def test_depth_shortens_until_recall():
-    assert jj.matched_depth(0.8, 24, 0.5) == jj.DEPTH
-    d = jj.matched_depth()
+def test_shortest_prefix_meets_the_target():
+    assert jj.shortest_prefix(0.8, 0.5) == jj.DEPTH
+    d = jj.shortest_prefix()
     assert 1 - (1 - 0.8**d) ** jj.TREES >= jj.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jj.TREES
 
 
+def test_revision_chains(spark):
+    """Each text is the one before, shifted by some words: long paths of links in the order of the ids."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(100 + 10 * 800)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 100])) for i in range(800)]  # Jaccard 0.81 with the next
+    words = [f"v{rng.randrange(10**9)}" for _ in range(200 + 8 * 300)]
+    rows += [(1000 + i, " ".join(words[8 * i : 8 * i + 200])) for i in range(300)]  # with the next two
+    want = brute(rows)
+    got = result(jj.join_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert len(set(label for label, _ in want.values())) == 2
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values())
+    assert all(got[i][1] <= want[i][1] for i in want)
+
+
+def test_boilerplate_forms_no_chains(spark):
+    """Texts that share 40 % of their grams meet in trees, but are no candidates of each other."""
+    rng = random.Random(6)
+    shared = [f"b{i}" for i in range(140)]
+    rows = [(i, " ".join(shared + [f"u{rng.randrange(10**9)}" for _ in range(100)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    reps = jj.sketch(df).withColumnRenamed("doc_id", "rep_id")
+    assert jj.candidates(reps, 0.8, 0.999).count() == 0
+    assert all(n == 0 for _, n in result(jj.join_near(df)).values())
+
+
+def test_walk_finds_the_pairs_that_share_a_prefix():
+    """Against brute force over all pairs, with and without tiles; rows whose recall is reached stop."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, jj.TREES * jj.DEPTH).astype(np.uint16)
+    sigs = np.repeat(base[None], 40, axis=0)
+    for i in range(40):
+        sigs[i, rng.choice(sigs.shape[1], 30 if i < 30 else 90, replace=False)] = i
+    paths = sigs.reshape(40, jj.TREES, jj.DEPTH)[:, 0]
+    for side in (None, np.arange(40) % 2):
+        edges = jj.walk(paths, sigs, side, 2, 0.8, 1.1)  # a recall that is never reached
+        group = list(range(40))
+        for i, j in edges:
+            group = [group[i] if g == group[j] else g for g in group]
+        want = {}
+        for i in range(40):
+            for j in range(i):
+                prefix = (paths[i] == paths[j])[:2].all()
+                if prefix and (sigs[i] == sigs[j]).mean() >= 0.8 - jj.SLACK and (side is None or side[i] != side[j]):
+                    want.setdefault(i, set()).add(j)
+                    assert group[i] == group[j]
+        assert len(edges) <= 39 and all((sigs[i] == sigs[j]).mean() >= 0.8 - jj.SLACK and (paths[i] == paths[j])[:2].all() for i, j in edges) and want
+
+
 def test_edges(spark):
     got = jj.join_near(frame(spark)).collect()
     assert len(got) == 11
@@ -104,8 +153,8 @@ def test_verified_links_need_no_shared_prefix(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
-    sets, trees = [grams(t) for _, t in rows], [jj.prefixes(s, jj.DEPTH) for s in jj.gram_sets(pa.array([t for _, t in rows]))]
-    unmet = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and not (trees[i] == trees[j]).any()]
+    sets, trees = [grams(t) for _, t in rows], [jj.signature(s).reshape(jj.TREES, jj.DEPTH) for s in jj.gram_sets(pa.array([t for _, t in rows]))]
+    unmet = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and not (trees[i] == trees[j]).all(axis=1).any()]
     assert unmet
     for tile in (256, 8):
         monkeypatch.setattr(jj, "TILE", tile)

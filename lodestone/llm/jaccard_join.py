@@ -52,6 +52,8 @@ SLACK = 5 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
 #: Documents and grams of a tile, at most.
 TILE = 2048
 TILE_GRAMS = 2_000_000
+#: Paths that a task walks at once, about.
+BUNDLE = 4096
 
 _RNG = np.random.default_rng(2024)
 _MULTIPLY = _RNG.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -125,53 +127,67 @@ class Groups:
     """Connected groups of 0..n-1 and the edges that joined them."""
 
     def __init__(self, n: int):
-        self.of, self.edges = np.arange(n), []
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        """Link i with each of `others`."""
-        groups, at = np.unique(self.of[others], return_index=True)
-        new = groups != self.of[i]
-        if new.any():
-            self.edges += [(i, int(j)) for j in others[at[new]]]
-            self.of[np.isin(self.of, groups[new])] = self.of[i]
-
-
-def walk(paths: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, shortest: int, threshold: float, recall: float) -> list[tuple[int, int]]:
-    """A spanning forest of the candidates of one subtree: paths (n, DEPTH) and sigs (n, TREES * DEPTH).
-    With `side` (0 or 1 per row) only pairs of different sides are compared."""
-    order = np.lexsort(paths.T[::-1])
-    paths, sigs = paths[order], sigs[order]
+        self.of, self.parent, self.edges = np.arange(n), list(range(n)), []
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Link left[k] with right[k]; pairs already in one group cost a comparison."""
+        new = self.of[left] != self.of[right]
+        if not new.any():
+            return
+        for i, j in zip(left[new].tolist(), right[new].tolist()):
+            a, b = self._root(i), self._root(j)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.edges.append((i, j))
+        of = np.array(self.parent)
+        while (of[of] != of).any():
+            of = of[of]
+        self.of = of
+
+
+def walk(tries: np.ndarray, paths: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, shortest: int, threshold: float, recall: float) -> list[tuple[int, int]]:
+    """A spanning forest of the candidates of some subtrees: tries (n) tells the subtrees apart, paths
+    are (n, DEPTH) and sigs (n, TREES * DEPTH). With `side` (0 or 1 per row) only pairs of different
+    sides are compared. Rows i and i + k of the sorted paths are compared for all i at once."""
+    order = np.lexsort([*paths.T[::-1], tries])
+    tries, paths, sigs = tries[order], paths[order], sigs[order]
     side = None if side is None else side[order]
-    n, places = len(order), sigs.shape[1]
+    n, places = sigs.shape
     same = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(axis=1)  # longest common prefix with the row before
+    same[tries[1:] != tries[:-1]] = 0
     likeness = np.arange(places + 1) / places
     seen = np.flatnonzero(likeness >= max(threshold - SLACK, 0.5 / places))  # likenesses of candidates
-    partners = np.zeros((n, places + 1), np.int64)  # of each row, by the number of equal minhashes
-    active, groups, inner = np.ones(n, bool), Groups(n), np.arange(n)
-    for depth in range(DEPTH, shortest - 1, -1):
+    partners = np.zeros((n, len(seen)), np.int32)  # of each row, by the number of equal minhashes
+    active, groups, inner = np.ones(n, bool), Groups(n), None
+    for depth in range(DEPTH, max(1, shortest) - 1, -1):
         node = np.concatenate([[0], np.cumsum(same < depth)])
-        ends = np.append(np.flatnonzero(np.diff(node, prepend=-1)), n)
-        for a, b in zip(ends[:-1], ends[1:]):
-            if b - a < 2:
-                continue
-            for i in np.flatnonzero(active[a:b]) + a:
-                fits = inner[a:b] != inner[i] if depth < DEPTH else np.arange(a, b) > i
-                # a pair of active rows is compared from its first row
-                fits &= ~active[a:b] | (np.arange(a, b) > i)
-                if side is not None:
-                    fits &= side[a:b] != side[i]
-                others = np.flatnonzero(fits) + a
-                if not len(others):
-                    continue
-                equal = (sigs[others] == sigs[i]).sum(axis=1)
-                near = equal >= seen[0]
-                others, equal = others[near], equal[near]
-                if len(others):
-                    groups.join(i, others)
-                    np.add.at(partners[i], equal, 1)
-                    partners[others, equal] += 1
+        stop = np.append(np.flatnonzero(np.diff(node)) + 1, n)[node]  # where each row's node ends
+        rows, k = np.arange(n), 0
+        while True:
+            k += 1
+            rows = rows[rows + k < stop[rows]]
+            if not len(rows):
+                break
+            use = active[rows] | active[rows + k]
+            if inner is not None:
+                use &= inner[rows] != inner[rows + k]  # the others were compared at a longer prefix
+            if side is not None:
+                use &= side[rows] != side[rows + k]
+            left = rows[use]
+            equal = (sigs[left] == sigs[left + k]).sum(axis=1)
+            near = equal >= seen[0]
+            left, equal = left[near], equal[near] - seen[0]
+            groups.join(left, left + k)
+            partners[left, equal] += 1
+            partners[left + k, equal] += 1
         found = partners.sum(axis=1)
-        expected = (partners[:, seen] / chance(likeness[seen], depth)).sum(axis=1)
+        expected = (partners / chance(likeness[seen], depth)).sum(axis=1)
         active &= (found == 0) | (found < recall * expected)
         inner = node
     return [(int(order[i]), int(order[j])) for i, j in groups.edges]
@@ -186,8 +202,8 @@ def _tiled(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _tiles(n, grams=None):
-    """Into how many tiles n documents (of `grams` grams) are cut: about sqrt(12 n) documents each."""
-    size = F.least(F.lit(TILE), F.greatest(F.lit(64), F.ceil(F.sqrt(12 * n))))
+    """Into how many tiles n documents (of `grams` grams) are cut: about 2 * sqrt(n) documents each."""
+    size = F.least(F.lit(TILE), F.greatest(F.lit(48), F.ceil(2 * F.sqrt(n))))
     parts = F.when(n <= min(128, TILE), 1).otherwise(F.ceil(n / size))
     if grams is not None:
         parts = F.greatest(parts, F.ceil(grams / TILE_GRAMS))
@@ -195,15 +211,16 @@ def _tiles(n, grams=None):
 
 
 def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """reps(rep_id, sig) -> edges (u, v): a spanning forest of the candidates of every subtree."""
+    """reps(rep_id, sig) -> edges (u, v): a spanning forest of the candidates of every subtree. Small
+    subtrees are walked some thousand paths at a time, large ones a pair of tiles at a time."""
     shortest = shortest_prefix(threshold, recall)
     trees = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * DEPTH} + 1, {2 * shortest})))")
     leaves = reps.select("rep_id", F.posexplode(trees).alias("tree", "trie"))
     tries = leaves.groupBy("trie").agg(F.count("*").alias("n")).filter("n > 1").select("trie", _tiles(F.col("n")).alias("tiles"))
     leaves, path = materialise(leaves.join(tries, "trie"), "leaves")
-    several = leaves.select("rep_id").distinct()
-    several, path2 = materialise(reps.join(several, "rep_id", "left_semi").select("rep_id", "sig"), "signatures")
-    dealt = join_small(leaves, several, "rep_id", "inner", several.count(), 2 * TREES * DEPTH + 64)
+    bundles = leaves.count() // BUNDLE + 1
+    several = reps.join(leaves.select("rep_id").distinct(), "rep_id", "left_semi").select("rep_id", "sig")
+    dealt = leaves.join(several.hint("merge"), "rep_id").withColumn("bundle", F.when(F.col("tiles") == 1, F.pmod("trie", F.lit(bundles))).otherwise(F.col("trie")))
 
     def run(key, table):
         table = table.combine_chunks()
@@ -211,13 +228,12 @@ def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), -1)
         paths = sigs.reshape(len(ids), TREES, DEPTH)[np.arange(len(ids)), tree]
         side = None if key[1].as_py() == key[2].as_py() else table["side"].to_numpy()
-        edges = walk(paths, sigs, side, shortest, threshold, recall)
+        edges = walk(table["trie"].to_numpy(), paths, sigs, side, shortest, threshold, recall)
         return pa.table({"u": pa.array([int(ids[i]) for i, _ in edges], pa.int64()), "v": pa.array([int(ids[j]) for _, j in edges], pa.int64())})
 
-    met = _tiled(dealt.withColumnRenamed("rep_id", "doc_id"), "trie").groupBy("trie", "a", "b").applyInArrow(run, "u long, v long")
+    met = _tiled(dealt.withColumnRenamed("rep_id", "doc_id"), "bundle").groupBy("bundle", "a", "b").applyInArrow(run, "u long, v long")
     edges, _ = materialise(met.distinct(), "candidates")
-    for p in (path, path2):
-        discard(reps.sparkSession, p)
+    discard(reps.sparkSession, path)
     return edges
 
 
@@ -254,8 +270,7 @@ def verify_tile(ids, sizes, sets, side, threshold, same_tile):
         links[right] += (link * sizes[left][:, None]).sum(axis=0)
     groups = Groups(n)
     for i, row in zip(left, link):
-        if row.any():
-            groups.join(int(i), right[row])
+        groups.join(np.full(int(row.sum()), i), right[row])
     return links, [(int(ids[i]), int(ids[j])) for i, j in groups.edges]
 
 

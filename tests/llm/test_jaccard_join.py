@@ -109,7 +109,7 @@ def test_walk_finds_the_pairs_that_share_a_prefix():
         sigs[i, rng.choice(sigs.shape[1], 30 if i < 30 else 90, replace=False)] = i
     paths = sigs.reshape(40, jj.TREES, jj.DEPTH)[:, 0]
     for side in (None, np.arange(40) % 2):
-        edges = jj.walk(paths, sigs, side, 2, 0.8, 1.1)  # a recall that is never reached
+        edges = jj.walk(np.zeros(40, np.int64), paths, sigs, side, 2, 0.8, 1.1)  # a recall that is never reached
         group = list(range(40))
         for i, j in edges:
             group = [group[i] if g == group[j] else g for g in group]

@@ -53,7 +53,7 @@ SLACK = 5 * (0.8 * 0.2 / (TREES * DEPTH)) ** 0.5
 TILE = 2048
 TILE_GRAMS = 2_000_000
 #: Paths that a task walks at once, about.
-BUNDLE = 4096
+BUNDLE = 1024
 
 _RNG = np.random.default_rng(2024)
 _MULTIPLY = _RNG.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -135,8 +135,8 @@ class Groups:
             x = self.parent[x]
         return x
 
-    def join(self, left: np.ndarray, right: np.ndarray) -> None:
-        """Link left[k] with right[k]; pairs already in one group cost a comparison."""
+    def join(self, left: np.ndarray, right: np.ndarray, note: bool = True) -> None:
+        """Link left[k] with right[k]; pairs already in one group cost a comparison. `note`: keep the edges."""
         new = self.of[left] != self.of[right]
         if not new.any():
             return
@@ -144,7 +144,8 @@ class Groups:
             a, b = self._root(i), self._root(j)
             if a != b:
                 self.parent[max(a, b)] = min(a, b)
-                self.edges.append((i, j))
+                if note:
+                    self.edges.append((i, j))
         of = np.array(self.parent)
         while (of[of] != of).any():
             of = of[of]
@@ -153,8 +154,11 @@ class Groups:
 
 def walk(tries: np.ndarray, paths: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, shortest: int, threshold: float, recall: float) -> list[tuple[int, int]]:
     """A spanning forest of the candidates of some subtrees: tries (n) tells the subtrees apart, paths
-    are (n, DEPTH) and sigs (n, TREES * DEPTH). With `side` (0 or 1 per row) only pairs of different
-    sides are compared. Rows i and i + k of the sorted paths are compared for all i at once."""
+    are (n, DEPTH) and sigs (n, TREES * DEPTH). With `side` (0 or 1 per row) only the edges that join
+    what the pairs inside the two sides leave apart are returned (two dense tiles: one edge). Rows i and
+    i + k of the sorted paths are compared for all i at once."""
+    if side is not None:
+        inside = [(np.flatnonzero(side == x), walk(*(v[side == x] for v in (tries, paths, sigs)), None, shortest, threshold, recall)) for x in (0, 1)]
     order = np.lexsort([*paths.T[::-1], tries])
     tries, paths, sigs = tries[order], paths[order], sigs[order]
     side = None if side is None else side[order]
@@ -165,6 +169,12 @@ def walk(tries: np.ndarray, paths: np.ndarray, sigs: np.ndarray, side: np.ndarra
     seen = np.flatnonzero(likeness >= max(threshold - SLACK, 0.5 / places))  # likenesses of candidates
     partners = np.zeros((n, len(seen)), np.int32)  # of each row, by the number of equal minhashes
     active, groups, inner = np.ones(n, bool), Groups(n), None
+    if side is not None:
+        place = np.argsort(order)
+        for rows, edges in inside:
+            if edges:
+                u, v = place[rows[np.array(edges).T]]
+                groups.join(u, v, note=False)
     for depth in range(DEPTH, max(1, shortest) - 1, -1):
         node = np.concatenate([[0], np.cumsum(same < depth)])
         stop = np.append(np.flatnonzero(np.diff(node)) + 1, n)[node]  # where each row's node ends
@@ -201,9 +211,9 @@ def _tiled(rows: DataFrame, key: str) -> DataFrame:
     return dealt.select(key, F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).cast("int").alias("side"), *columns)
 
 
-def _tiles(n, grams=None):
-    """Into how many tiles n documents (of `grams` grams) are cut: about 2 * sqrt(n) documents each."""
-    size = F.least(F.lit(TILE), F.greatest(F.lit(48), F.ceil(2 * F.sqrt(n))))
+def _tiles(n, grams=None, least: int = 48, times: int = 2):
+    """Into how many tiles n documents (of `grams` grams) are cut: about times * sqrt(n) documents each."""
+    size = F.least(F.lit(TILE), F.greatest(F.lit(least), F.ceil(times * F.sqrt(n))))
     parts = F.when(n <= min(128, TILE), 1).otherwise(F.ceil(n / size))
     if grams is not None:
         parts = F.greatest(parts, F.ceil(grams / TILE_GRAMS))
@@ -216,7 +226,7 @@ def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     shortest = shortest_prefix(threshold, recall)
     trees = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, t * {2 * DEPTH} + 1, {2 * shortest})))")
     leaves = reps.select("rep_id", F.posexplode(trees).alias("tree", "trie"))
-    tries = leaves.groupBy("trie").agg(F.count("*").alias("n")).filter("n > 1").select("trie", _tiles(F.col("n")).alias("tiles"))
+    tries = leaves.groupBy("trie").agg(F.count("*").alias("n")).filter("n > 1").select("trie", _tiles(F.col("n"), least=128, times=3).alias("tiles"))
     leaves, path = materialise(leaves.join(tries, "trie"), "leaves")
     bundles = leaves.count() // BUNDLE + 1
     several = reps.join(leaves.select("rep_id").distinct(), "rep_id", "left_semi").select("rep_id", "sig")
@@ -254,21 +264,24 @@ def verify_tile(ids, sizes, sets, side, threshold, same_tile):
         column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
     width = int(column[-1]) + 1 if len(column) else 0
     left, right = (np.arange(n), np.arange(n)) if same_tile else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    common = np.zeros((len(left), len(right)), np.float32)
+    common = np.zeros((n, n), np.float32)
     for a in range(0, width, 4096):
         lo, hi = np.searchsorted(column, [a, a + 4096])
         block = np.zeros((n, min(4096, width - a)), np.float32)
         block[owner[lo:hi], column[lo:hi] - a] = 1
-        common += block[left] @ block[right].T
-    need = threshold * (counts[left][:, None] + counts[right][None, :]) / (1 + threshold)
-    link = common.astype(np.float64) >= need - 1e-6
-    if same_tile:
-        link &= ids[left][:, None] != ids[right][None, :]
+        common += block @ block.T
+    need = threshold * (counts[:, None] + counts[None, :]) / (1 + threshold)
+    whole = (common.astype(np.float64) >= need - 1e-6) & (ids[:, None] != ids[None, :])
+    link = whole[np.ix_(left, right)]
     links = np.zeros(n, np.int64)
     links[left] += (link * sizes[right][None, :]).sum(axis=1)
     if not same_tile:
         links[right] += (link * sizes[left][:, None]).sum(axis=0)
     groups = Groups(n)
+    if not same_tile:  # what links inside the sides join is known from their own tiles
+        for rows in (left, right):
+            for i, row in zip(rows, whole[np.ix_(rows, rows)]):
+                groups.join(np.full(int(row.sum()), i), rows[row], note=False)
     for i, row in zip(left, link):
         groups.join(np.full(int(row.sum()), i), right[row])
     return links, [(int(ids[i]), int(ids[j])) for i, j in groups.edges]

@@ -2,6 +2,7 @@ import random
 import re
 
 import regex
+from pyspark.sql import functions as F
 
 from lodestone.llm import pii
 
@@ -70,22 +71,121 @@ def test_documents(spark):
 def test_collisions_are_drawn_again(spark):
     """Ids of two digits: 25 entities occur, so their replacements are 25 of the other 75."""
     rows_ = [("national", f"{i:02d}") for i in range(0, 25)]
-    df = spark.createDataFrame(rows_, "kind string, canon string")
-    from pyspark.sql import functions as F
+    got = cores(spark, rows_)
+    assert len(set(got.values())) == 25 and not set(got.values()) & {c for _, c in rows_}
 
+
+def cores(spark, entities):
+    df = spark.createDataFrame(entities, "kind string, canon string")
     extra = {(r["kind"], r["canon"]): r["attempt"] for r in pii.assign(df).collect()}
-    full = df.collect()
-    cores = spark.createDataFrame([(k, c, extra.get((k, c), 0)) for k, c in ((r["kind"], r["canon"]) for r in full)], "kind string, canon string, attempt int")
-    got = [r[0] for r in cores.select(pii.core_of(pii.KEY, F.col("kind"), F.col("canon"), F.col("attempt"))).collect()]
-    assert extra and len(set(got)) == 25 and not set(got) & {c for _, c in rows_}
+    tried = spark.createDataFrame([(k, c, extra.get((k, c), 0)) for k, c in entities], "kind string, canon string, attempt int")
+    return {(r[0], r[1]): r[2] for r in tried.select("kind", "canon", pii.core_of(pii.KEY, F.col("kind"), F.col("canon"), F.col("attempt"))).collect()}
+
+
+def test_full_spaces_of_a_format(spark):
+    """All 676 emails of one shape, 9,000 of 10,000 phones, all 100 ids: every replacement is another
+    one of the shape, no two are equal and none is the entity itself."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    entities = [("email", f"{a}@{b}.co") for a in letters for b in letters]
+    entities += [("phone", f"49|{i:04d}") for i in range(9000)] + [("national", f"{i:02d}") for i in range(100)]
+    got = cores(spark, entities)
+    for kind, shape in (("email", r"[a-z]@[a-z]\.co"), ("phone", r"49\|\d{4}"), ("national", r"\d\d")):
+        of = {c: s for (k, c), s in got.items() if k == kind}
+        assert len(set(of.values())) == len(of) and all(c != s and re.fullmatch(shape, s) for c, s in of.items())
+
+
+def test_many_names_differ(spark):
+    entities = [("name", f"m latin Given{i} Sur{i}") for i in range(3000)] + [("name", f"f cyrillic Имя{i}") for i in range(2000)] + [("name", f"n han 王{i}") for i in range(1500)]
+    got = cores(spark, entities)
+    assert len(set(got.values())) == len(entities)
+    for (_, c), s in got.items():
+        assert s.split()[:2] == c.split()[:2] and len(s.split()) == len(c.split()) and s != c
+
+
+def luhn(d):
+    return sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def planted(rng):
+    """(kind, entity, mention) of every kind, made without the module's patterns."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    kind = rng.choice(["email", "phone", "ip", "card", "iban", "national", "secret", "name"])
+    if kind == "email":
+        e = f"{word(5)}.{word(3)}{digits(2)}@{word(6)}.com"
+        return kind, e, rng.choice([e, e.upper()])
+    if kind == "phone":
+        d = digits(7)
+        return kind, d, rng.choice([f"+49 {d[:3]} {d[3:]}", f"+49-{d[:3]}-{d[3:]}"])
+    if kind == "ip":
+        e = ".".join(str(rng.randrange(1, 224)) for _ in range(4))
+        return kind, e, e
+    if kind == "card":
+        body = digits(15)
+        e = next(body + str(k) for k in range(10) if luhn(body + str(k)))
+        return kind, e, rng.choice([e, f"{e[:4]} {e[4:8]} {e[8:12]} {e[12:]}"])
+    if kind == "iban":
+        e = f"DE{digits(20)}"
+        return kind, e, rng.choice([e, " ".join(e[i : i + 4] for i in range(0, 22, 4))])
+    if kind == "national":
+        e = f"{digits(3)}-{digits(2)}-{digits(4)}"
+        return kind, e, e
+    if kind == "secret":
+        e = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        return kind, e, rng.choice([e, e.upper()])
+    sur, (title, given) = word(6).capitalize(), rng.choice([("Mrs", "Clara"), ("Mr", "Hugo"), ("Mr.", "Paul")])
+    return kind, f"{given} {sur}", rng.choice([f"{title} {given} {sur}", f"{given} {sur}"])
+
+
+def test_planted_entities(spark):
+    """Brute force: texts are built from known pieces, so the result is known up to the replacements."""
+    rng = random.Random(8)
+    pool = [planted(rng) for _ in range(120)]
+    texts = [[(f"wort {i} und,", *rng.choice(pool)) for _ in range(rng.randrange(4))] for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(f"{w} {m}," for w, _, _, m in t) + " ende.") for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got, of = rows(pii.replace_entities(df)), {}
+    for i, t in enumerate(texts):
+        assert got[i]["kinds"] == [k for _, k, _, _ in t]
+        assert got[i]["text"] == " ".join(f"{w} {s}," for (w, *_), s in zip(t, got[i]["surrogates"], strict=True)) + " ende."
+        for (_, kind, entity, mention), s in zip(t, got[i]["surrogates"]):
+            if kind == "name":
+                plain = s.removeprefix("Mrs ").removeprefix("Mr ").removeprefix("Mr. ")
+                assert len(s) - len(plain) == len(mention) - len(entity) and len(plain.split()) == 2
+            else:
+                plain = re.sub("[^0-9a-z]", "", s.lower())
+                assert re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", s))) == re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", mention))) or kind in ("ip", "secret")
+            assert kind != "card" or luhn(plain)
+            assert kind != "ip" or all(0 <= int(x) <= 255 for x in s.split("."))
+            assert of.setdefault((kind, entity), plain) == plain
+    assert len(of) > 100 and len(set(of.values())) == len(of)
+    assert not {v for v in of.values()} & {re.sub("[^0-9a-z]", "", e.lower()) if k != "name" else e for k, e in of}
+
+
+def test_scripts_and_names_without_title(spark):
+    texts = ["Mr Иванов and Dr Παπάς met Иван Петров, Mrs 李 and Mr 김민수.", "Later Mr Иван Петров and Clara Weiss left; Clara alone stayed, Rosa did too."]
+    got = rows(pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    a, b = got[0]["surrogates"], got[1]["surrogates"]
+    assert regex.fullmatch(r"Mr \p{Cyrillic}+", a[0]) and regex.fullmatch(r"Dr \p{Greek}+", a[1]) and regex.fullmatch(r"\p{Cyrillic}+ \p{Cyrillic}+", a[2])
+    assert regex.fullmatch(r"Mrs \p{Han}+", a[3]) and regex.fullmatch(r"Mr \p{Hangul}+", a[4])
+    assert b[0] == "Mr " + a[2] and a[2].split()[0] in pii.GIVEN["m", "cyrillic"].split()
+    assert b[1].split()[0] in pii.GIVEN["f", "latin"].split() and len(b) == 2 and "Clara alone stayed, Rosa did" in got[1]["text"]
+
+
+def test_texts_with_the_marks_and_clashing_columns(spark):
+    text = f"odd {pii.OPEN}x{pii.CLOSE} at 1.2.3.4 and a.b@c.de"
+    df = spark.createDataFrame([(1, text, "r", "k"), (1, "1.2.3.4", "s", None), (None, "1.2.3.4", None, None), (None, None, "", "")], "doc_id long, text string, found string, tries string")
+    df = df.withColumn("marked", F.lit("m")).withColumn("made", F.lit(1)).withColumn("row", F.lit("own"))
+    got = pii.replace_entities(df).collect()
+    assert [(r["found"], r["tries"], r["marked"], r["made"], r["row"]) for r in sorted(got, key=lambda r: str(r["found"]))] == [(f, t, "m", 1, "own") for f, t in [("", ""), (None, None), ("r", "k"), ("s", None)]]
+    odd = next(r for r in got if r["found"] == "r")
+    assert odd["kinds"] == ["ip", "email"] and odd["text"] == text.replace("1.2.3.4", odd["surrogates"][0]).replace("a.b@c.de", odd["surrogates"][1])
+    assert next(r for r in got if r["found"] == "s")["text"] == odd["surrogates"][0]
 
 
 def test_exceptions_reach_the_texts(spark, monkeypatch):
     real = pii.assign
 
     def forced(entities, key=pii.KEY):
-        from pyspark.sql import functions as F
-
         return entities.filter("kind = 'ip'").withColumn("attempt", F.lit(3))
 
     df = spark.createDataFrame([(1, "at 1.2.3.4 and 1.2.3.4"), (None, "1.2.3.4"), (2, "a@b.cd")], "doc_id long, text string")

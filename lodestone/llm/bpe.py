@@ -20,7 +20,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, slices
 
 CACHE_ENTRIES = 150_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
@@ -130,8 +130,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
         pieces, model = shared.value
         codec = Codec(pieces, pattern, model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch, 1, 256):
                 cols = [[] for _ in range(6)]
                 for text in part.column(1).to_pylist():
                     packed = codec.encode_packed(text or "")

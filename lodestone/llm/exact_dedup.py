@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fits_broadcast, materialise, partitions
+from .common import documents, fits_broadcast, materialise
 from .hashing import U, rice_decode, rice_encode
 
 #: Fingerprint bits beyond log2 of the number of rows: 2**-MARGIN of the rows are false suspects.
 MARGIN = 16
 #: A unit is at most 2**UNIT_BITS rows of one input partition.
 UNIT_BITS = 20
+#: Rows whose fingerprints an owner judges at once, about; sets the number of owners.
+OWNER_ROWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +97,6 @@ def suspects(rows: DataFrame, replies: DataFrame, bits: int, owners: int) -> Dat
 
 def dedup_exact(docs: DataFrame, row_id: str = "doc_id") -> DataFrame:
     """One row per row of docs(doc_id, text): keep_id, group_size, kept and text_sha256."""
-    spark = docs.sparkSession
     norm = normalised()
     base = docs.select(F.col(row_id).cast("long").alias("doc_id"), norm.alias("norm"))
     # row: place in the scan, the only handle on repeated rows; fp and sha come with it from one pass
@@ -103,7 +104,7 @@ def dedup_exact(docs: DataFrame, row_id: str = "doc_id") -> DataFrame:
     keyed = keyed.withColumn("unit", F.shiftright("row", UNIT_BITS))
     keyed, _ = materialise(keyed, "keys")
     n_rows = keyed.count()
-    owners = max(1, min(partitions(spark), n_rows // 1000 + 1))
+    owners = n_rows // OWNER_ROWS + 1
     bits = min(62, max(16, n_rows.bit_length() + MARGIN))
     replies = answer(send(keyed.select("unit", "fp"), bits, owners), bits)
     rows, _ = materialise(suspects(keyed.select("unit", "row", "fp"), replies, bits, owners), "suspects")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fits_broadcast, materialise, partitions
+from .common import documents, fits_broadcast, materialise, partitions, slices
 
 LAST = (1 << 63) - 1
 
@@ -102,8 +102,8 @@ def with_next(docs: DataFrame, bits: int = 128) -> DataFrame:
     def run(batches):
         held = used = None  # the row that waits for its successor; the bucket whose tail has come
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part, out = batch.slice(i, 512).to_pydict(), []
+            for part in slices(batch, 3):
+                part, out = part.to_pydict(), []
                 for bucket, tail, doc_id, text in zip(part["bucket"], part["tail"], part["doc_id"], part["text"], strict=True):
                     if tail and used == bucket:
                         continue  # further rows of the same first id
@@ -139,8 +139,7 @@ def classes_of_clashes(found: DataFrame, docs: DataFrame, bits: int = 128) -> Da
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in slices(batch, 2, 256):
                 canon = [canonical(t if u is None else edit(t, u)) for t, u in zip(part["text"].to_pylist(), part["following"].to_pylist(), strict=True)]
                 f = pa.array([digest(c, bits) for c in canon], pa.string())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["side"], f, pa.array(canon, pa.string())], ["doc_id", "side", "f", "canon"])

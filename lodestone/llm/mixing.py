@@ -1,15 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting, with native functions only.
 
 Documents fall into cells (source, language, topic). The cells' token sums are raked: in turn each
-dimension's weights are scaled to its target marginal, for SWEEPS rounds or until no marginal moves
-by more than TOLERANCE. A document of cell c is then kept with probability min(1, k * w_c / t_c),
+dimension's weights are scaled to its target marginal, SWEEPS times and further until no marginal
+is off by more than TOLERANCE or more sweeps do not help (targets that contradict the cells that occur);
+the remaining distance is reported as `deviation`. A document of cell c is then kept with probability min(1, k * w_c / t_c),
 w_c the raked weight, t_c the cell's tokens and k calibrated so that the expected tokens equal the
 budget. The draw is a keyed hash of doc_id, so it repeats on any cluster.
 
 Only the cell table is iterated on (one row per combination that occurs, pre-aggregated map-side, so
-a source with a third of all rows is a handful of rows); marginals are aggregated from it and joined
-back, by broadcast where their checked size allows. Each sweep is written to the shared folder, which
-cuts lineage (a checkpointed plan would carry its constraints along and be planned ever slower).
+a source with a third of all rows is a handful of rows). A cell table of at most LOCAL_CELLS rows is one
+partition, where marginals are window sums without a shuffle, PLANNED sweeps a plan; a larger one is
+aggregated by dimension and joined back (by broadcast where the marginals' checked size allows), a sweep
+a plan. Each plan's result is written to the shared folder, which cuts lineage.
 
 Targets: per dimension an exponent a (the target share of a value is its token share to the power a,
 normalised) or a table (value, share); values a table does not list get no weight, listed values
@@ -23,16 +25,20 @@ The operator overwrites columns of its own output names and ignores others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, join_small, materialise
+from .common import discard, documents, join_small, materialise, unused
 
 DIMENSIONS = ("source", "lang", "topic")
 TARGETS = {"source": 0.5, "lang": 0.3, "topic": 0.7}
 BUDGET = 0.6
-SWEEPS = 10
-TOLERANCE = 1e-13
+SWEEPS = 20
+TOLERANCE = 1e-10
+#: Up to so many cells are raked inside one partition.
+LOCAL_CELLS = 100_000
+#: Sweeps of one such plan.
+PLANNED = 5
 SEED = "mix-1"
 
 
@@ -79,24 +85,52 @@ def target_table(cells: DataFrame, dimension: str, target) -> DataFrame:
     return materialise(raw.select("value", (F.col("raw") / total).alias("goal")), "goals")[0]
 
 
+def _sweep(now: DataFrame) -> DataFrame:
+    """One sweep inside one partition; `now` has a goal per dimension."""
+    for d in DIMENSIONS:
+        total = F.sum("weight").over(Window.partitionBy(d))
+        now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.coalesce(f"goal_{d}", F.lit(0.0)) / total).otherwise(0.0))
+    return now
+
+
+def _wide_sweep(now: DataFrame, goals: dict, sizes: dict) -> DataFrame:
+    """One sweep of a large cell table: marginals are aggregated and joined back."""
+    for d in DIMENSIONS:
+        sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
+        factor = goals[d].join(sums, "value").select(F.col("value").alias(d), F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
+        now = join_small(now, factor, d, "left", sizes[d], 64).withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
+    return now
+
+
 def rake(cells: DataFrame, targets: dict, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells with `weight`, whose sums over each dimension are its goals (sum 1)."""
+    """cells with `weight`, whose sums over each dimension are its goals (sum 1), and `deviation`, by
+    which the worst marginal still misses its goal."""
+    spark = cells.sparkSession
     goals = {d: target_table(cells, d, targets[d]) for d in DIMENSIONS}
     sizes = {d: g.count() for d, g in goals.items()}
-    total = cells.agg(F.sum("tokens")).first()[0] or 1.0
-    now = cells.withColumn("weight", F.col("tokens") / total)
-    for _ in range(sweeps):
+    n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
+    now = cells.withColumn("weight", F.col("tokens") / (total or 1.0))
+    local = n <= LOCAL_CELLS
+    if local:
         for d in DIMENSIONS:
-            sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
-            factor = goals[d].join(sums, "value").select(F.col("value").alias(d), F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
-            now = join_small(now, factor, d, "left", sizes[d], 64).withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        now, _ = materialise(now.select(*cells.columns, "weight"), "raked")
-        if deviation(now, goals, sizes) <= tolerance:
-            break
-    return now
-
-
-def deviation(cells: DataFrame, goals: dict, sizes: dict) -> float:
+            now = join_small(now, goals[d].select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}")), d, "left", sizes[d], 64)
+        now = now.coalesce(1)
+    missed, old = None, None
+    while True:
+        for done in range(1, sweeps + 1):
+            now = _sweep(now) if local else _wide_sweep(now, goals, sizes)
+            if done == sweeps or not local or done % PLANNED == 0:
+                now, path = materialise(now, "raked")
+                now = now.coalesce(1) if local else now
+                if old:
+                    discard(spark, old)
+                old = path
+        before, missed = missed, deviation(now, goals)
+        if missed <= tolerance or (before is not None and missed > 0.99 * before):
+            return now.select(*cells.columns, "weight", F.lit(missed).alias("deviation"))
+
+
+def deviation(cells: DataFrame, goals: dict) -> float:
     """The largest distance of a marginal from its goal; the last dimension raked is exact."""
     worst = 0.0
     for d in DIMENSIONS[:-1]:
@@ -125,20 +159,21 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict = TARGETS, budget: float = BUDGET, topic: Column | None = None, seed: str = SEED) -> DataFrame:
-    """docs with topic (unless it has one), n_tokens, weight (of the document's cell), keep_prob and
-    sampled; the columns of docs keep their values, nulls included."""
+    """docs with topic (unless it has one), n_tokens, weight (of the document's cell), keep_prob,
+    deviation (of the raked marginals) and sampled; the columns of docs keep their values, nulls included."""
     own = [d for d in DIMENSIONS if d in docs.columns]
     if topic is None and "topic" in own:
         topic = F.col("topic")
-    keyed = with_cell(docs.withColumn("_own", F.struct(*own)), topic)
+    held = unused(docs, "own")
+    keyed = with_cell(docs.withColumn(held, F.struct(F.lit(0).alias("none"), *own)), topic)
     cells, _ = materialise(calibrate(rake(cells_of(keyed), targets), budget), "calibrated")
     out = _attach(keyed, cells, cells.count(), seed)
-    return out.withColumns({d: F.col("_own")[d] for d in own}).drop("_own")
+    return out.withColumns({d: F.col(held)[d] for d in own}).drop(held)
 
 
 def _attach(keyed: DataFrame, cells: DataFrame, n: int, seed: str) -> DataFrame:
-    facts = cells.select(*DIMENSIONS, "weight", "keep_prob")
-    out = join_small(keyed.drop("weight", "keep_prob", "sampled"), facts, list(DIMENSIONS), "left", n, 160)
+    facts = cells.select(*DIMENSIONS, "weight", "keep_prob", "deviation")
+    out = join_small(keyed.drop("weight", "keep_prob", "deviation", "sampled"), facts, list(DIMENSIONS), "left", n, 160)
     return out.withColumn("sampled", uniform(seed) < F.col("keep_prob"))
 
 
@@ -147,7 +182,7 @@ def op8_ipf_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed, _ = materialise(with_cell(documents(spark, sf_dir), None).select("doc_id", *DIMENSIONS, "n_tokens"), "keyed")
     cells, _ = materialise(calibrate(rake(cells_of(keyed), TARGETS)), "calibrated")
     out = _attach(keyed, cells, cells.count(), SEED)
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 9).alias("weight"), F.round("keep_prob", 9).alias("keep_prob"), "sampled")
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 9).alias("weight"), F.round("keep_prob", 9).alias("keep_prob"), F.round("deviation", 6).alias("deviation"), "sampled")
 
 
 def _oracle() -> str:
@@ -180,11 +215,13 @@ o as (
 ), k as (
   select *, (wanted - coalesce(sum(tokens) over (order by rn rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by rn rows between current row and unbounded following) as k from o
-), f as (select k from k where k * ratio <= 1 order by rn limit 1)
+), f as (select k from k where k * ratio <= 1 order by rn limit 1),
+miss as (select max(greatest(abs(s1 - g_source), abs(s2 - g_lang))) as deviation from (
+  select g_source, g_lang, sum(weight) over (partition by source) as s1, sum(weight) over (partition by lang) as s2 from {last}))
 select d.doc_id, d.source, d.lang, d.topic, n_tokens, round(weight, 9) as weight,
-  round(least(1.0, weight * f.k / tokens), 9) as keep_prob,
+  round(least(1.0, weight * f.k / tokens), 9) as keep_prob, round(deviation, 6) as deviation,
   ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 < least(1.0, weight * f.k / tokens) as sampled
-from d join {last} using (source, lang, topic), f
+from d join {last} using (source, lang, topic), f, miss
 """
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, materialise, new_path, partitions
+from .common import documents, materialise, new_path, partitions, slices
 
 BLOCK = 1 << 20
 RUN = 1024
@@ -37,8 +37,8 @@ def _filesystem(uri: str):
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, eod: int, dtype: str, folder: str) -> DataFrame:
     """Encode docs(doc_id, text) into one flat file per task under `folder` (a shared URI) and return
-    (file, ordinal, doc_id). A retried task writes another file; only files named in the returned,
-    materialised rows count."""
+    (file, ordinal, doc_id). A retried task writes into another folder; only files named in the returned,
+    materialised rows count. A file is named by its partition, so names repeat from run to run."""
     vocabulary = bpe.read_ranks(vocabulary_path)
     if max(len(vocabulary) - 1, eod) >= 1 << (8 * WIDTH[dtype]) or eod < len(vocabulary):
         raise ValueError("the ids do not fit, or the separator is a token")
@@ -50,14 +50,13 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, eod: int,
         end = np.array([eod], dtype).tobytes()
         try:
             for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
+                for part in slices(batch, 1, 256):
                     if out is None:
                         pieces, model = shared.value
                         codec = bpe.Codec(pieces, pattern, model)
                         filesystem, root = _filesystem(folder)
-                        filesystem.create_dir(root, recursive=True)
-                        name = f"{context.partitionId():06d}-{context.taskAttemptId()}.tokens"
+                        name = f"{context.taskAttemptId()}/{context.partitionId():06d}.tokens"
+                        filesystem.create_dir(f"{root}/{context.taskAttemptId()}", recursive=True)
                         out = filesystem.open_output_stream(f"{root}/{name}")
                     for text in part.column(1).to_pylist():
                         out.write(np.frombuffer(codec.encode_packed(text or ""), np.uint32).astype(dtype).tobytes() + end)

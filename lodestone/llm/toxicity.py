@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, slices
 from .hashing import U, find_words, hash_words, mix, text_buffer
 
 BITS = 18
@@ -153,8 +153,7 @@ def _document_counts(sample: DataFrame) -> dict:
     def run(batches):
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 0):
                 bags = Bags(part.column(0))
                 pairs = np.unique(bags.doc[bags.sentence].astype(np.int64) << BITS | bags.feature)
                 of, feature = pairs >> BITS, pairs & ((1 << BITS) - 1)
@@ -191,8 +190,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Weights | None:
     def run(batches):
         number = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 0):
                 bags = Bags(part.column(0))
                 small = number[bags.feature]
                 small, sentence = small[small >= 0], bags.sentence[small >= 0]
@@ -251,8 +249,7 @@ def score_documents(docs: DataFrame, model: Weights | None, with_spans: bool = F
     def run(batches):
         model = shared.value or Weights(np.zeros(1 << BITS, np.float32), -30.0, 1.0, -30.0)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, 1):
                 bags = Bags(part.column(1))
                 n = len(bags.doc)
                 z = model.sentences(bags.feature, bags.sentence, n)
@@ -289,8 +286,7 @@ def keep_documents(docs: DataFrame, model: Weights | None, threshold: float = PR
     def run(batches):
         model = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch, place):
                 bags = Bags(part.column(place))
                 z = model.sentences(bags.feature, bags.sentence, len(bags.doc))
                 score = model.score(model.clean(z, bags.doc, bags.n_docs))

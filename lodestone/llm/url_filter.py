@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .hashing import text_buffer
 
 RULES = [
@@ -111,8 +111,7 @@ def count_cells(urls: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], ["kind", "cell", "n"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
+            for part in slices(batch, 0, SLICE):
                 label = np.asarray(part.column(1).to_pylist(), bool)
                 held = np.asarray(part.column(2).to_pylist(), bool)
                 for kind in range(4):

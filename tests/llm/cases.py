@@ -21,7 +21,7 @@ def frame(spark, rows=ROWS):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("row", "unit", "bucket", "fp", "norm", "f", "side", "score", "lang", "source", "owner", "n", "word", "token", "cell"):
+    for name in ("row", "unit", "bucket", "fp", "norm", "f", "side", "score", "lang", "source", "owner", "n", "word", "token", "cell", "own", "of_id", "of_text", "_sha", "_own", "_found", "found", "made", "deviation", "sig", "trie"):
         df = df.withColumn(name, F.lit(None).cast("string"))
     return df.withColumn("n_chars", F.length("text").cast("long")).repartition(3)
 

@@ -93,3 +93,23 @@ class Config:
 
 
 DEFAULT = Config()
+
+# Fixed patterns: names of settings, values that open a level, durations, secrets.
+NESTED_NAME = r"[A-Za-z_][A-Za-z0-9_\-]*"
+FLAT_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
+LEVEL_VALUES = ("", "|", ">", "|-", ">-", "{", "[")
+DURATION = r"(?i)(\d+(?:\.\d+)?)\s*(milliseconds?|minutes?|seconds?|hours?|mins?|secs?|hrs?|ms|m|s|h)\b"
+PLAIN_NUMBER = r"\b(\d+(?:\.\d+)?)\b"
+COUNTED_TOKENS = r"(?:max|min|num|total|input|output|completion|prompt|context|budget)s?[_-]?tokens?\b|tokens?[_-]?(?:count|limit|budget|length)\b|tokeniz"
+LONG_RUN = r"\b[A-Za-z0-9+_-]{32,}={0,2}\b"
+SETTING_LINE = r"^(\s*[A-Za-z_][A-Za-z0-9_.\-]*)(\s*[:=]\s*)(.+)$"
+STRING_LITERAL = r"""(?s)^\s*(?:[rRbBfFuU]{1,2})?(\'\'\'|\"\"\"|\'|\")(.*)\1\s*$"""
+SECRET_SHAPES = (
+    r"\bsk-[A-Za-z0-9_]{10,}\b",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    r"\bgithub_pat_[A-Za-z0-9_]{20,}\b",
+    r"\b[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
+)
+PEM_BEGIN = r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE)-----"
+PEM_END = r"-----END [A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE)-----"

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..constants import GENERIC_WORDS, SECRET_WORDS, STOPWORDS, UNIT_SECONDS
 
 MASK = "[REDACTED]"
@@ -108,21 +109,18 @@ def unit_from_key(key: Column) -> Column:
     return out
 
 
-_DURATION = r"(?i)(\d+(?:\.\d+)?)\s*(milliseconds?|minutes?|seconds?|hours?|mins?|secs?|hrs?|ms|m|s|h)\b"
-
-
 def line_value(c: Column) -> Column:
     """struct(kind, value): the first duration with a unit in seconds, else the first number; null
     where there is none."""
     units = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
-    number, unit = F.regexp_extract(c, _DURATION, 1), F.lower(F.regexp_extract(c, _DURATION, 2))
-    plain = F.regexp_extract(c, r"\b(\d+(?:\.\d+)?)\b", 1)
+    number, unit = F.regexp_extract(c, K.DURATION, 1), F.lower(F.regexp_extract(c, K.DURATION, 2))
+    plain = F.regexp_extract(c, K.PLAIN_NUMBER, 1)
     return F.when(number != "", F.struct(F.lit("duration").alias("kind"), (number.cast("double") * F.element_at(units, unit)).alias("value"))).when(plain != "", F.struct(F.lit("number").alias("kind"), plain.cast("double").alias("value")))
 
 
 def secret_key(key: Column) -> Column:
     k = F.lower(split_camel(key))
-    counted = k.rlike(r"(?:max|min|num|total|input|output|completion|prompt|context|budget)s?[_-]?tokens?\b|tokens?[_-]?(?:count|limit|budget|length)\b|tokeniz")
+    counted = k.rlike(K.COUNTED_TOKENS)
     found = k.contains("token") & ~counted
     for w in SECRET_WORDS:
         found = found | k.contains(w)
@@ -131,7 +129,7 @@ def secret_key(key: Column) -> Column:
 
 def mask_entropy(c: Column) -> Column:
     """Mask runs of 32 or more token characters that hold a digit, left to right."""
-    runs = F.regexp_extract_all(c, F.lit(r"\b[A-Za-z0-9+_-]{32,}={0,2}\b"), F.lit(0))
+    runs = F.regexp_extract_all(c, F.lit(K.LONG_RUN), F.lit(0))
 
     def step(acc, x):
         at = F.instr(acc["rest"], x)
@@ -144,19 +142,17 @@ def mask_entropy(c: Column) -> Column:
 
 def redact_line(line: Column, config_format: Column) -> Column:
     """One line with values of secret keys and token-shaped strings masked."""
-    shape = r"^(\s*[A-Za-z_][A-Za-z0-9_.\-]*)(\s*[:=]\s*)(.+)$"
-    key, sep, value = (F.regexp_extract(line, shape, i) for i in (1, 2, 3))
-    literal = r"""(?s)^\s*(?:[rRbBfFuU]{1,2})?(\'\'\'|\"\"\"|\'|\")(.*)\1\s*$"""
-    hide = (key != "") & secret_key(F.trim(key)) & ((config_format & (F.trim(value) != "")) | value.rlike(literal))
+    key, sep, value = (F.regexp_extract(line, K.SETTING_LINE, i) for i in (1, 2, 3))
+    hide = (key != "") & secret_key(F.trim(key)) & ((config_format & (F.trim(value) != "")) | value.rlike(K.STRING_LITERAL))
     out = F.when(hide, F.concat(key, sep, F.lit(MASK))).otherwise(line)
-    for p in (r"\bsk-[A-Za-z0-9_]{10,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b", r"\b[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b"):
+    for p in K.SECRET_SHAPES:
         out = F.regexp_replace(out, p, MASK)
     return mask_entropy(out)
 
 
 def redact_text(text: Column, config_format: Column) -> Column:
     """Line by line; the body of a PEM block (to its end, or to the end of the text) is masked."""
-    begin, end = r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE)-----", r"-----END [A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE)-----"
+    begin, end = K.PEM_BEGIN, K.PEM_END
 
     def step(acc, line):
         inside = acc["pem"]

@@ -169,7 +169,7 @@ def _typed(entries: DataFrame, strict: bool) -> DataFrame:
         entries = entries.filter(~T.secret_key(F.col("key")) & (F.size(words) >= 2) & bare)
     else:
         made = F.coalesce(made, T.line_value(raw))
-    shown = raw if strict else F.when(bare, raw).otherwise(F.coalesce(F.nullif(F.regexp_extract(raw, T._DURATION, 0), F.lit("")), F.regexp_extract(raw, r"\b\d+(?:\.\d+)?\b", 0)))
+    shown = raw if strict else F.when(bare, raw).otherwise(F.coalesce(F.nullif(F.regexp_extract(raw, K.DURATION, 0), F.lit("")), F.regexp_extract(raw, r"\b\d+(?:\.\d+)?\b", 0)))
     return entries.select("path", F.col("key").alias("setting"), "line", shown.alias("shown"), unit.alias("unit"), T.normalise_key(F.col("key")).alias("key"), made.alias("t")).filter("t is not null").select("*", "t.kind", "t.value").drop("t")
 
 

@@ -66,6 +66,41 @@ SCORED = f"""{BASE}, q as (
     (sum(least(6.0, 2.0 * ln(1 + cnt))) + 2.0) * count(*) filter (cnt > 0) / {N}.0 end as raw,
     count(*) filter (cnt > 0) as n_matched from s group by path), sc as (select path, round(raw, 9) as score, n_matched from q)"""
 
+#: Signals of every kind, made from columns that each document has: a role by language, damping by size,
+#: a path penalty by source, file names by the text's first letter, definitions by counts.
+MIXED = f"""{BASE}, m as (
+  select s.path, pos, term, cnt, case lang when 'en' then 'source' when 'fr' then 'test' when 'de' then 'config' else 'docs' end as role,
+    case when size > 3000 then 0.25 else 1.0 end::double as damp, case when source like '%7' then 0.3 else 1.0 end::double as penalty,
+    case when lower(left(content, 1)) = left(term, 1) then 1.0 / (1 + pos) else 0.0 end::double as fn,
+    case when pos % 2 = 0 then least(cnt, 3) else 0 end as n_defs, 1.0 / (1 + pos) as weight
+  from s join f using (path) join (select 'docs/' || coalesce(source, '') || '/' || doc_id || '.md' as path, lang, source from documents) using (path)
+), g as (
+  select path, any_value(role) as role, any_value(damp) as damp, any_value(penalty) as penalty, any_value(role) = 'test' as test,
+    count(*) filter (cnt > 0 or fn > 0 or n_defs > 0) as n_matched,
+    sum(least({K.DEFAULT.content_cap}, {K.DEFAULT.content_mult} * ln(1 + cnt)) * weight) as content, sum({K.DEFAULT.weight_symbol} * n_defs * weight) as symbol,
+    sum({K.DEFAULT.weight_filename} * fn * weight) as name, min(pos) filter (fn > 0) as by_name, max(pos) filter (n_defs > 0) as by_def, max(cnt) as most
+  from m group by path
+)"""
+
+
+def mixed_signals(spark, sf):
+    rows = scoring.content_signals(files(spark, sf).drop("role"), TERMS, ("path", "size", "content"))
+    of = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "lang", "source")
+    rows = rows.withColumn("head", F.lower(F.substring("content", 1, 1))).drop("content").join(of, "path")
+    defs = F.when(F.col("pos") % 2 == 0, F.least("cnt", F.lit(3))).otherwise(0)
+    return rows.select(
+        "path", "size", "pos", "term", "cnt",
+        F.when(F.col("lang") == "en", "source").when(F.col("lang") == "fr", "test").when(F.col("lang") == "de", "config").otherwise("docs").alias("role"),
+        F.when(F.col("size") > 3000, 0.25).otherwise(1.0).alias("damp"),
+        F.when(F.col("source").endswith("7"), 0.3).otherwise(1.0).alias("penalty"),
+        F.when(F.col("head") == F.substring("term", 1, 1), 1.0 / (1 + F.col("pos"))).otherwise(0.0).alias("fn"),
+        defs.cast("int").alias("n_defs"),
+        F.when(defs > 0, F.concat(F.lit("about_"), "term")).otherwise("").alias("first_def"),
+        (100 - F.col("pos")).cast("int").alias("first_seq"),
+        (1.0 / (1 + F.col("pos"))).alias("weight"),
+    )
+
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -306,13 +341,29 @@ def byte_budget_eviction(spark, sf):
     return bounding.within_budget(rows, F.col("size"), ["size", "path"], 1_000_000)
 
 
-_RUN = r"\b[A-Za-z0-9+_-]{32,}={0,2}\b"
+_RUN = K.LONG_RUN
 
 
-@query(f"select doc_id, len(regexp_extract_all(text, '{_RUN}')) as n_masked, sha256(regexp_replace(text, '{_RUN}', '{T.MASK}', 'g')) as sha from documents where regexp_matches(text, '{_RUN}')")
+@query(f"""with x as (select doc_id, string_split_regex(text, '{_RUN}') as p, regexp_extract_all(text, '{_RUN}') as r from documents where regexp_matches(text, '{_RUN}'))
+  select doc_id, len(list_filter(r, lambda y: regexp_matches(y, '[0-9]')))::bigint as n_masked,
+    sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || case when i > len(r) then '' when regexp_matches(r[i], '[0-9]') then '{T.MASK}' else r[i] end), '')) as sha from x""")
 def redact_entropy(spark, sf):
     rows = table(spark, sf, "documents").filter(F.col("text").rlike(_RUN))
-    return rows.select("doc_id", F.regexp_count("text", F.lit(_RUN)).cast("long").alias("n_masked"), F.sha2(T.mask_entropy(F.col("text")), 256).alias("sha"))
+    runs = F.regexp_extract_all("text", F.lit(_RUN), F.lit(0))
+    return rows.select("doc_id", F.size(F.filter(runs, lambda x: x.rlike("[0-9]"))).cast("long").alias("n_masked"), F.sha2(T.mask_entropy(F.col("text")), 256).alias("sha"))
+
+
+@query(f"""{MIXED}, term_of as (select distinct pos, term from s), t as (
+    select g.path, min(m.pos) as first_most from g join m on m.path = g.path and m.cnt = g.most and g.most > 0 group by g.path)
+  select path, role, round(case when n_matched = 0 then 0.0 else penalty * (name + n_matched / {N}.0 * (
+      symbol * case when test then {K.DEFAULT.test_damping} else 1.0 end + content * damp * case when test then {K.DEFAULT.test_damping} else 1.0 end
+      + case when role in ('config', 'docs') then {K.DEFAULT.role_bonus} else 0.0 end)) end, 6) as score, n_matched::int as n_matched,
+    case when by_name is not null then 'filename matches ' || chr(39) || a.term || chr(39) when by_def is not null then 'defines about_' || b.term
+      when most > 0 then 'mentions ' || c.term else 'matches task terms' end as reason
+  from g left join t using (path) left join term_of a on a.pos = by_name left join term_of b on b.pos = by_def left join term_of c on c.pos = first_most""")
+def mixed_signal_score(spark, sf):
+    rows = scoring.score_files(mixed_signals(spark, sf), N)
+    return rows.select("path", "role", F.round("score", 6).alias("score"), F.size("matched_terms").alias("n_matched"), "reason")
 
 
 @query(f"{SCORED}, two as (select path, score from sc where score > 4 union all select path, round(score / 2, 9) from sc where score > 2 and score <= 4) select path, score, row_number() over (order by score desc, path)::int as rank from two qualify rank <= 60")

@@ -18,8 +18,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-v", "--verbose", action="store_true")
     parser.add_argument("--all", action="store_true", dest="show_all")
     parser.add_argument("--version", action="version", version=VERSION)
-    if any(a in ("-json", "-root", "-all", "-version") for a in argv):
-        print("long options take two dashes", file=sys.stderr)
+    long = {o for action in parser._actions for o in action.option_strings if o.startswith("--")}
+    short = [f"-{a}" for a in argv if f"-{a}".split("=")[0] in long]
+    if short:
+        parser.print_usage(sys.stderr)
+        print(f"{parser.prog}: long options take two dashes: {' '.join(short)}", file=sys.stderr)
         return 2
     args = parser.parse_args(argv)
     if not Path(args.root).is_dir():

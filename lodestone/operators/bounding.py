@@ -27,14 +27,15 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, k: int) -> Dat
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rn") <= k)
 
 
-def within_budget(rows: DataFrame, bytes_: Column, order: list, budget: int) -> DataFrame:
+def within_budget(rows: DataFrame, bytes_: Column, order: list, budget: int, hold=DataFrame.persist) -> DataFrame:
     """Rows dropped whole in the given order until the rest fits; the row that crosses the limit goes.
 
     A row stays when it and all rows after it fit. Rows are dealt by range of the order; sums of whole
-    ranges (one row each) tell every range what follows it, so no task sees more than its range."""
+    ranges (one row each) tell every range what follows it, so no task sees more than its range. `hold` keeps the dealt rows, which are read
+    twice and must not be dealt anew."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_b", bytes_.cast("long")).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()
+    dealt = hold(rows.withColumn("_b", bytes_.cast("long")).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     later = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("_p").agg(F.sum("_b").alias("_s")).withColumn("_after", F.coalesce(F.sum("_s").over(later), F.lit(0))).drop("_s")
     fits = dealt.join(F.broadcast(sums.filter(F.col("_after") <= budget)), "_p")  # at most n rows

@@ -17,6 +17,13 @@ def content_signals(files: DataFrame, terms: list[str], keep: tuple = ("path",))
     return files.select(*keep, F.explode(rows).alias("s")).select(*keep, "s.pos", "s.term", "s.cnt")
 
 
+def signal_rows(files: DataFrame, keep: list, signals: list[Column]) -> DataFrame:
+    """(keep..., t): the array of a file's signals, one struct per term, on the file's own row. The
+    generator of one element holds later filters off the signals, which would else be computed for the
+    filter and again for its result."""
+    return files.select(*keep, F.explode(F.array(F.array(*signals))).alias("t"))
+
+
 def content_score(cnt: Column, cfg: Config = DEFAULT) -> Column:
     return F.least(F.lit(cfg.content_cap), F.lit(cfg.content_mult) * F.log1p(cnt))
 
@@ -34,17 +41,20 @@ def fragment_weight(n: Column, total: Column, rare: float = DEFAULT.fragment_rar
     return F.when(n / total <= rare, 1.0).otherwise(rare / (n / total))
 
 
+def is_hit(x: Column) -> Column:
+    return (x["cnt"] > 0) | (x["fn"] > 0) | (x["n_defs"] > 0)
+
+
 def score_files(signals: DataFrame, n_terms: int, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per file from signals(path, role, size, asset, damp, penalty, pos, term, cnt, fn, defs,
-    names, weight): its score, leading reason and matched terms. Sums run in the order of terms."""
-    hit = (F.col("cnt") > 0) | (F.col("fn") > 0) | (F.col("n_defs") > 0)
-    grouped = signals.groupBy("path", "role", "size", "damp", "penalty").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "cnt", "fn", "n_defs", "first_def", "first_seq", "weight", hit.alias("hit")))).alias("t"))
+    """One row per file from signals(path, role, size, damp, penalty, t), t an array in the order of
+    terms of struct(term, cnt, fn, n_defs, first_def, first_seq, weight): its score, leading reason and
+    matched terms. Sums run in the order of terms; no shuffle."""
     total = lambda f: F.aggregate("t", F.lit(0.0), lambda a, x: a + f(x))
     test = F.when(F.col("role") == "test", cfg.test_damping).otherwise(1.0)
     content = total(lambda x: content_score(x["cnt"], cfg) * x["weight"]) * F.col("damp") * test
     symbol = total(lambda x: cfg.weight_symbol * x["n_defs"] * x["weight"]) * test
     name = total(lambda x: cfg.weight_filename * x["fn"] * x["weight"])
-    matched = F.array_distinct(F.transform(F.filter("t", lambda x: x["hit"]), lambda x: x["term"]))
+    matched = F.array_distinct(F.transform(F.filter("t", is_hit), lambda x: x["term"]))
     bonus = F.when((F.size("matched") > 0) & F.col("role").isin("config", "docs"), cfg.role_bonus).otherwise(0.0)
     by_name = F.filter("t", lambda x: x["fn"] > 0)
     by_def = F.array_sort(F.transform(F.filter("t", lambda x: x["n_defs"] > 0), lambda x: F.struct(x["first_seq"].alias("seq"), x["first_def"].alias("name"))))
@@ -55,7 +65,7 @@ def score_files(signals: DataFrame, n_terms: int, cfg: Config = DEFAULT) -> Data
         .when(best["cnt"] > 0, F.concat(F.lit("mentions "), best["term"]))
         .otherwise("matches task terms")
     )
-    scored = grouped.withColumn("matched", matched).withColumn("reason", reason)
+    scored = signals.withColumn("matched", matched).withColumn("reason", reason)
     scaled = (symbol + content + bonus) * F.size("matched") / F.lit(float(max(n_terms, 1)))
     score = F.when(F.size("matched") > 0, (name + scaled) * F.col("penalty")).otherwise(0.0)
     return scored.select("path", "role", "size", score.alias("score"), "reason", F.col("matched").alias("matched_terms"))

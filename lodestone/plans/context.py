@@ -18,47 +18,62 @@ from ..constants import DEFAULT, Config
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import bounding, checks, graph, scoring
-from ..sources import discovery, facts
+from ..sources import discovery, facts, tables
 
 
 def _defs_per_term(code: DataFrame, terms: list[str]) -> DataFrame:
-    """(path, pos, n_defs, first_def, first_seq): definitions whose name has the term."""
+    """(path, defs): by term's position, the definitions whose name has the term."""
     defs = code.filter("kind = 'def'")
     hits = F.array_compact(F.array(*[F.when(T.has_word(F.col("name"), t), F.lit(i)) for i, t in enumerate(terms)]))
     rows = defs.select("path", "name", "seq", F.explode(hits).alias("pos"))
-    return rows.groupBy("path", "pos").agg(F.count("*").alias("n_defs"), F.min_by("name", "seq").alias("first_def"), F.min("seq").alias("first_seq"))
+    found = rows.groupBy("path", "pos").agg(F.count("*").alias("n_defs"), F.min_by("name", "seq").alias("first_def"), F.min("seq").alias("first_seq"))
+    return found.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("n_defs", "first_def", "first_seq")))).alias("defs"))  # an entry a term
 
 
-def signal_table(files: DataFrame, code: DataFrame, terms: list[str], cfg: Config = DEFAULT) -> DataFrame:
-    """One row per file and term with every signal; the only wide scan of contents."""
+def path_counts_of(files: DataFrame, terms: list[str]) -> dict[str, int]:
+    return {r["word"]: r["n_files"] for r in scoring.path_word_counts(files).filter(F.col("word").isin(terms)).collect()}
+
+
+def signal_table(files: DataFrame, code: DataFrame, terms: list[str], path_counts: dict, weights: dict | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """One row per file with every term's signals; the only wide scan of contents."""
     path, content, size = F.col("path"), F.col("content"), F.col("size")
-    weights = {r["word"]: r["n_files"] for r in scoring.path_word_counts(files).filter(F.col("word").isin(terms)).collect()}
     density = code.groupBy("path").agg(F.sum((F.col("kind") == "def").cast("int")).alias("n_all"), F.lit(True).alias("parsed"))
-    base = files.join(density, "path", "left").withColumn("asset", P.asset_like(path, content, cfg.asset_avg_line))
+    base = files.join(density, "path", "left").join(_defs_per_term(code, terms), "path", "left").withColumn("asset", P.asset_like(path, content, cfg.asset_avg_line))
     damp = P.large_penalty(path, size, content, F.col("asset"), F.coalesce("n_all", F.lit(0)), F.coalesce("parsed", F.lit(False)), cfg)
     named = P.segments_and_stems(path)
 
     def row(i: int, term: str) -> Column:
-        rare = F.round(scoring.rarity(F.lit(float(weights.get(term, 1)))), 15)
+        rare = F.round(scoring.rarity(F.lit(float(path_counts.get(term, 1)))), 15)
         hit = F.exists(named, lambda s: T.has_word(s, term))
         count = F.when(F.col("asset"), 0).otherwise(T.count_word(content, term)).cast("long")
-        return F.struct(F.lit(i).alias("pos"), F.lit(term).alias("term"), count.alias("cnt"), F.when(hit, rare).otherwise(0.0).alias("fn"))
+        of = F.try_element_at(F.col("defs"), F.lit(i))
+        return F.struct(
+            F.lit(term).alias("term"), count.alias("cnt"), F.when(hit, rare).otherwise(0.0).alias("fn"), F.coalesce(of["n_defs"], F.lit(0)).alias("n_defs"),
+            of["first_def"].alias("first_def"), F.coalesce(of["first_seq"], F.lit(0)).alias("first_seq"), F.lit(float((weights or {}).get(term, 1.0))).alias("weight"),
+        )
+
+    kept = ["path", "role", "size", damp.alias("damp"), P.path_penalty(path, content, cfg).alias("penalty")]
+    return scoring.signal_rows(base, kept, [row(i, t) for i, t in enumerate(terms)])
+
 
-    kept = ["path", "role", "size", "damp", "penalty"]
-    rows = base.select("path", "role", "size", damp.alias("damp"), P.path_penalty(path, content, cfg).alias("penalty"), F.explode(F.array(*[row(i, t) for i, t in enumerate(terms)])).alias("s"))
-    rows = rows.select(*kept, "s.*").join(_defs_per_term(code, terms), ["path", "pos"], "left")
-    return rows.withColumns({"n_defs": F.coalesce("n_defs", F.lit(0)), "first_seq": F.coalesce("first_seq", F.lit(0)), "weight": F.lit(1.0)})
+def score_file(spark: SparkSession, path: str, content: str, terms: list[str], path_counts: dict | None = None, weights: dict | None = None, cfg: Config = DEFAULT) -> float:
+    """The score of one file by itself. Without `path_counts` (files by word of their paths) every word of
+    its path counts as unique; without `weights` every term counts in full."""
+    files = spark.createDataFrame([(path, content)], "path string, content string")
+    files = files.select("*", F.octet_length("content").cast("long").alias("size"), P.role(F.col("path")).alias("role"))
+    rows = signal_table(files, facts.code_facts(files), terms, path_counts or {}, weights, cfg) if terms else None
+    return scoring.score_files(rows, len(terms), cfg).first()["score"] if terms else 0.0
 
 
 def _reweigh(signals: DataFrame, terms: list[str], compounds: dict, n_files: int, cfg: Config):
     """(signals, files per term): fragments of a compound that are common count less."""
-    hit = (F.col("cnt") > 0) | (F.col("fn") > 0) | (F.col("n_defs") > 0)
-    seen = {r["term"]: r["n"] for r in signals.filter(hit).groupBy("term").agg(F.count_distinct("path").alias("n")).collect()}
+    hits = signals.select(F.explode(F.array_distinct(F.transform(F.filter("t", scoring.is_hit), lambda x: x["term"]))).alias("term"))
+    seen = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}
     fragments = {f for parts in compounds.values() for f in parts} - set(compounds)
     weights = {f: min(1.0, cfg.fragment_rare * n_files / seen[f]) for f in fragments if seen.get(f, 0) / max(n_files, 1) > cfg.fragment_rare}
     if weights:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-        signals = signals.withColumn("weight", F.coalesce(F.element_at(table, F.col("term")), F.lit(1.0)))
+        signals = signals.withColumn("t", F.transform("t", lambda x: x.withField("weight", F.coalesce(F.try_element_at(table, x["term"]), F.lit(1.0)))))
     return signals, {t: seen.get(t, 0) for t in terms}
 
 
@@ -230,37 +245,55 @@ def weak_signal(items: list[dict], terms: list[str], path_counts: dict, file_cou
 
 
 def get_context(spark: SparkSession, task: str, root: str | None = None, files: DataFrame | None = None, cfg: Config = DEFAULT) -> dict:
-    """The package for a task over a directory, or over files(path, content[, role, size])."""
+    """The package for a task over a directory, or over files(path, content[, role, size]). Tables that
+    the call keeps in memory are released before it returns."""
     if not isinstance(task, str) or not task.strip():
         raise ValueError("the task is empty")
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    try:
+        return _context(spark, task, root, files, cfg, hold)
+    finally:
+        for df in reversed(held):
+            df.unpersist()
+
+
+def _context(spark, task, root, files, cfg, hold) -> dict:
     counts: dict[str, int] = {}
     if files is None:
         if root is None or not Path(root).is_dir():
             raise NotADirectoryError(root)
-        files, counts = discovery.discover_files(spark, root, cfg)
+        files, counts = discovery.discover_files(spark, root, cfg, hold)
     for name, value in (("size", F.octet_length("content").cast("long")), ("role", P.role(F.col("path"))), ("duplicate_count", F.lit(0).cast("long"))):
         files = files if name in files.columns else files.withColumn(name, value)
-    files = files.persist()
+    files = hold(tables.spread(files))
     n_files = files.count()
     compounds = T.compounds(task)
     terms = T.tokenize_task(task, cfg.min_token_len)
     terms = terms + [c for c in compounds if c not in terms]
-    code = facts.code_facts(files).persist()
-    edges = import_edges(files, code).persist()
+    code = hold(facts.code_facts(files))
+    edges = hold(import_edges(files, code))
     items, excluded, weak, dropped = [], 0, None, 0
     below = over = empty = cut = 0
     if terms and n_files:
-        signals, file_counts = _reweigh(signal_table(files, code, terms, cfg).persist(), terms, compounds, n_files, cfg)
+        path_counts = path_counts_of(files, terms)
+        table = hold(signal_table(files, code, terms, path_counts, None, cfg))
+        signals, file_counts = _reweigh(table, terms, compounds, n_files, cfg)
         scored = scoring.score_files(signals, len(terms), cfg)
         copies = F.col("duplicate_count")
         note = F.when(copies > 0, F.concat(F.lit(" ("), copies.cast("string"), F.when(copies == 1, F.lit(" duplicate copy collapsed)")).otherwise(F.lit(" duplicate copies collapsed)")))).otherwise("")
         scored = scored.join(files.select("path", "duplicate_count"), "path").withColumn("reason", F.concat("reason", note)).drop("duplicate_count")
-        verified = graph.call_verified(edges, code.filter("kind = 'call'"), code.filter("kind = 'def'")).persist()
+        verified = hold(graph.call_verified(edges, code.filter("kind = 'call'"), code.filter("kind = 'def'")))
         callers = verified.join(scored.filter(F.col("score") > cfg.score_threshold).select(F.col("path").alias("src")), "src", "left_semi")
         owner = callers.groupBy(F.col("dst").alias("path")).agg(F.min("src").alias("caller"))
         lifted = scored.join(owner, "path", "left").withColumn("_own", F.col("caller").isNotNull() & (F.size("matched_terms") > 0))
         lifted = lifted.withColumn("score", F.col("score") + F.when(F.col("_own"), cfg.call_bonus).otherwise(0.0)).withColumn("reason", F.when(F.col("_own"), F.concat(F.lit("called by "), P.basename(F.col("caller")))).otherwise(F.col("reason")))
-        lifted = lifted.withColumn("score", F.round("score", 9)).drop("_own", "caller").persist()
+        lifted = lifted.withColumn("score", F.round("score", 9)).drop("_own", "caller")
+        lifted = hold(lifted)
         seeds = [r.asDict() | {"provenance": []} for r in lifted.filter(F.col("score") > cfg.score_threshold).orderBy(F.col("score").desc(), "path").limit(cfg.discovery_limit).collect()]
         followed = _expand(spark, seeds, scored, edges, verified, cfg) if seeds else []
         merged = sorted(seeds + followed, key=lambda x: (-x["score"], x["path"]))
@@ -269,8 +302,7 @@ def get_context(spark: SparkSession, task: str, root: str | None = None, files:
         inside = {x["path"] for x in chosen}
         above_in = lifted.filter((F.col("score") > cfg.score_threshold) & F.col("path").isin(list(inside))).count() if inside else 0
         over, below = above - above_in, n_files - above - (len(chosen) - above_in)
-        items, empty, cut, dropped = _attach(spark, chosen, files, code, edges, T.tokenize_task(task, cfg.min_token_len), cfg)
-        path_counts = {r["word"]: r["n_files"] for r in scoring.path_word_counts(files).filter(F.col("word").isin(terms)).collect()}
+        items, empty, cut, dropped = _attach(spark, chosen, files, code, edges, T.tokenize_task(task, cfg.min_token_len), cfg, hold)
         weak = weak_signal(items, terms, path_counts, file_counts, n_files, cfg) if seeds else None
     else:
         below = n_files
@@ -290,15 +322,15 @@ def get_context(spark: SparkSession, task: str, root: str | None = None, files:
     }
 
 
-def _attach(spark, chosen, files, code, edges, terms, cfg):
+def _attach(spark, chosen, files, code, edges, terms, cfg, hold):
     """Items with excerpts; how many have none, how many lost theirs to the budget, excerpts dropped."""
     if not chosen:
         return [], 0, 0, 0
     importer = [next((e.split(" imports ")[0] for e in reversed(x["provenance"]) if e.split(" imports ")[1] == x["path"]), None) for x in chosen]
     rows = F.broadcast(spark.createDataFrame([(x["path"], float(x["score"]), i) for x, i in zip(chosen, importer)], "path string, score double, importer string"))
     included = files.join(rows, "path").withColumn("asset", P.asset_like(F.col("path"), F.col("content"), cfg.asset_avg_line))
-    made = excerpts_of(included, code, edges, terms, cfg).coalesce(1).persist()
-    kept = bounding.within_budget(made, F.octet_length("text"), ["score", "path", "start_line"], cfg.package_bytes).collect()
+    made = hold(excerpts_of(included, code, edges, terms, cfg).coalesce(1))
+    kept = bounding.within_budget(made, F.octet_length("text"), ["score", "path", "start_line"], cfg.package_bytes, hold).collect()
     had = {r["path"] for r in made.select("path").distinct().collect()}
     dropped = made.count() - len(kept)
     by: dict[str, list] = {}

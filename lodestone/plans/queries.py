@@ -15,6 +15,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import bounding, checks, dedupe, graph, scoring
 from ..sources import ignore
+from ..sources.tables import spread
 
 TERMS = ["thention", "tion", "erber", "schen", "wh"]
 N = len(TERMS)
@@ -28,7 +29,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     """documents as a corpus of files."""
     path = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     content = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select(path.alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("size"), F.lit("docs").alias("role"))
+    return spread(table(spark, sf, "documents")).select(path.alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("size"), F.lit("docs").alias("role"))
 
 
 FILES = "f as (select 'docs/' || coalesce(source, '') || '/' || doc_id || '.md' as path, coalesce(text, '') as content, octet_length(encode(coalesce(text, '')))::bigint as size from documents)"
@@ -53,8 +54,11 @@ def signals(spark, sf):
 
 
 def full_signals(spark, sf):
-    rows = scoring.content_signals(files(spark, sf), TERMS, ("path", "role", "size"))
-    return rows.select("*", F.lit(1.0).alias("damp"), F.lit(1.0).alias("penalty"), F.lit(0.0).alias("fn"), F.lit(0).alias("n_defs"), F.lit("").alias("first_def"), F.lit(0).alias("first_seq"), F.lit(1.0).alias("weight"))
+    one = lambda t: F.struct(
+        F.lit(t).alias("term"), T.count_word(F.col("content"), t).cast("long").alias("cnt"), F.lit(0.0).alias("fn"), F.lit(0).alias("n_defs"),
+        F.lit("").alias("first_def"), F.lit(0).alias("first_seq"), F.lit(1.0).alias("weight"),
+    )
+    return scoring.signal_rows(files(spark, sf), ["path", "role", "size", F.lit(1.0).alias("damp"), F.lit(1.0).alias("penalty")], [one(t) for t in TERMS])
 
 
 def scored(spark, sf):
@@ -84,21 +88,23 @@ MIXED = f"""{BASE}, m as (
 
 
 def mixed_signals(spark, sf):
-    rows = scoring.content_signals(files(spark, sf).drop("role"), TERMS, ("path", "size", "content"))
-    of = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "lang", "source")
-    rows = rows.withColumn("head", F.lower(F.substring("content", 1, 1))).drop("content").join(of, "path")
-    defs = F.when(F.col("pos") % 2 == 0, F.least("cnt", F.lit(3))).otherwise(0)
-    return rows.select(
-        "path", "size", "pos", "term", "cnt",
-        F.when(F.col("lang") == "en", "source").when(F.col("lang") == "fr", "test").when(F.col("lang") == "de", "config").otherwise("docs").alias("role"),
-        F.when(F.col("size") > 3000, 0.25).otherwise(1.0).alias("damp"),
-        F.when(F.col("source").endswith("7"), 0.3).otherwise(1.0).alias("penalty"),
-        F.when(F.col("head") == F.substring("term", 1, 1), 1.0 / (1 + F.col("pos"))).otherwise(0.0).alias("fn"),
-        defs.cast("int").alias("n_defs"),
-        F.when(defs > 0, F.concat(F.lit("about_"), "term")).otherwise("").alias("first_def"),
-        (100 - F.col("pos")).cast("int").alias("first_seq"),
-        (1.0 / (1 + F.col("pos"))).alias("weight"),
-    )
+    path = F.concat(F.lit("docs/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    content = F.coalesce("text", F.lit(""))
+    rows = spread(table(spark, sf, "documents")).select(path.alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("size"), "lang", "source")
+    counted = rows.select("*", F.explode(F.array(F.array(*[T.count_word(F.col("content"), t).cast("long") for t in TERMS]))).alias("counts"))
+
+    def one(i, term):
+        cnt = F.get("counts", F.lit(i))
+        defs = F.least(cnt, F.lit(3)).cast("int") if i % 2 == 0 else F.lit(0)
+        return F.struct(
+            F.lit(term).alias("term"), cnt.alias("cnt"), F.when(F.lower(F.left("content", F.lit(1))) == term[0], 1.0 / (1 + i)).otherwise(0.0).alias("fn"), defs.alias("n_defs"),
+            F.when(defs > 0, f"about_{term}").otherwise("").alias("first_def"), F.lit(100 - i).alias("first_seq"), F.lit(1.0 / (1 + i)).alias("weight"),
+        )
+
+    role = F.when(F.col("lang") == "en", "source").when(F.col("lang") == "fr", "test").when(F.col("lang") == "de", "config").otherwise("docs")
+    damp = F.when(F.col("size") > 3000, 0.25).otherwise(1.0)
+    penalty = F.when(F.col("source").endswith("7"), 0.3).otherwise(1.0)
+    return scoring.signal_rows(counted, ["path", role.alias("role"), "size", damp.alias("damp"), penalty.alias("penalty")], [one(i, t) for i, t in enumerate(TERMS)])
 
 
 QUERIES: dict = {}
@@ -297,10 +303,15 @@ def scan_oversize(spark, sf):
 RULES = ["*.html", "!/*/en/*.html", "de/", "!fr", "/*/es/1*"]
 
 
-@query(f"""with {URLS}, m as (select page_id, path, greatest(
-    case when regexp_matches(path, '\\.html$') then 1 end, case when regexp_matches(path, '^[^/]*/en/[^/]*\\.html$') then 2 end,
-    case when regexp_matches(path, '(^|/)de/') then 3 end, case when regexp_matches(path, '(^|/)fr($|/)') then 4 end, case when regexp_matches(path, '^[^/]*/es/1[^/]*($|/)') then 5 end) as rule from u)
-  select page_id, path, coalesce(rule in (1, 3, 5), false) as ignored from m""")
+def _rule(x: str) -> str:
+    """The number of the last of RULES that fits x, a path or a folder with its slash."""
+    fits = [r"\.html($|/)", r"^[^/]*/en/[^/]*\.html($|/)", r"(^|/)de/", r"(^|/)fr($|/)", r"^[^/]*/es/1[^/]*($|/)"]
+    return "greatest(" + ", ".join(f"case when regexp_matches({x}, '{p}') then {i + 1} end" for i, p in enumerate(fits)) + ")"
+
+
+@query(f"""with {URLS}, m as (select page_id, path, string_split(path, '/') as s from u),
+  v as (select page_id, path, {_rule("path")} as own, list_transform(range(1, len(s)), lambda i: array_to_string(s[:i], '/') || '/') as folders from m)
+  select page_id, path, coalesce(own in (1, 3, 5), false) or len(list_filter(folders, lambda d: coalesce({_rule("d")} in (1, 3, 5), false))) > 0 as ignored from v""")
 def ignore_last_match_wins(spark, sf):
     return ignore.verdict(url_paths(spark, sf), ignore.compile_rules("", RULES)).select("page_id", "path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
@@ -466,10 +477,24 @@ def heading_scoped_lines(spark, sf):
     return heading_lines(rows, "session").select("line", "text")
 
 
-@query()
+_PICK = "list_position(list_transform(waiting, lambda x: {}), true)"
+
+
+@query(f"""{SCORED.replace("with ", "with recursive ", 1)}, roles as (
+    select path, score, case regexp_extract(path, '([0-9]+)\\.md$', 1)::bigint % 5 when 0 then 'source' when 1 then 'test' else 'docs' end as role from sc where score > 2.0),
+  top as (select *, row_number() over (order by score desc, path) as n from roles qualify n <= {K.DEFAULT.discovery_limit + K.DEFAULT.max_expanded}),
+  w(k, waiting, pick, docs) as (
+    select 0, list({{'path': path, 'role': role, 'score': score}} order by n), null::struct(path varchar, role varchar, score double), 0 from top
+    union all
+    select k + 1, list_concat(waiting[:p - 1], waiting[p + 1:]), waiting[p], docs + (waiting[p].role = 'docs')::int from (
+      select *, case when waiting[1].role = 'docs' and docs >= ceil((k + 1) * 2 / 3.0 - 1e-9)
+        then coalesce(nullif({_PICK.format("x.role in ('source', 'test')")}, 0), nullif({_PICK.format("x.role <> 'docs'")}, 0), 1) else 1 end as p
+      from w where len(waiting) > 0 and k < {K.DEFAULT.max_included}))
+  select k::int as position, pick.path as path, pick.role as role, pick.score as score from w where k > 0""")
 def diversified_topk(spark, sf):
-    role = F.when(F.crc32("path") % 5 == 0, "source").when(F.crc32("path") % 5 == 1, "test").otherwise("docs")
-    return bounding.diversified(scored(spark, sf).filter("score > 2").withColumn("score", F.round("score", 9)).withColumn("role", role))
+    number = F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("long") % 5
+    role = F.when(number == 0, "source").when(number == 1, "test").otherwise("docs")
+    return bounding.diversified(scored(spark, sf).withColumn("score", F.round("score", 9)).filter("score > 2").withColumn("role", role))
 
 
 @query(f"""{SCORED}, k as (select source, 'docs/' || source || '/' || d.doc_id || '.md' as path from documents d join labels l using (doc_id) where quality = 1 and toxic = 1),

@@ -103,7 +103,7 @@ def walk(root: Path, cfg: Config = DEFAULT) -> tuple[list[tuple[str, int]], dict
     return kept, counts
 
 
-def discover_files(spark: SparkSession, root: str, cfg: Config = DEFAULT) -> tuple[DataFrame, dict[str, int]]:
+def discover_files(spark: SparkSession, root: str, cfg: Config = DEFAULT, hold=DataFrame.persist) -> tuple[DataFrame, dict[str, int]]:
     """(files(path, role, size, content, duplicate_count), counts by reason)."""
     top = str(Path(root).resolve())
     found, counts = walk(Path(root), cfg)
@@ -122,10 +122,10 @@ def discover_files(spark: SparkSession, root: str, cfg: Config = DEFAULT) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([text], pa.string())], ["path", "size", "content"])
 
     n = max(1, min(len(found) // 64, 4 * spark.sparkContext.defaultParallelism))
-    read_ = listed.repartition(n).mapInArrow(read, "path string, size long, content string").persist()
+    read_ = hold(listed.repartition(n).mapInArrow(read, "path string, size long, content string"))
     total = read_.count()
     text = read_.filter("content is not null").withColumn("role", P.role(F.col("path")))
-    one = dedupe.dedupe_locales(dedupe.dedupe_content(text)).persist()
+    one = hold(dedupe.dedupe_locales(dedupe.dedupe_content(text)))
     kept = one.count()
     binary = total - text.count()
     return one, {**counts, "binary": binary, "duplicate": total - binary - kept}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DENYLIST_DIRS
@@ -94,19 +94,28 @@ def match(rules: list[Rule], path: str, is_dir: bool) -> bool | None:
     return None if best is None else best[1]
 
 
-def verdict(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """files(path) with ignored: true, false or null (no opinion), by the last match of the deepest
-    scope. The rules are a constant of the plan; no join."""
+def _opinion(path: Column, rules: list[Rule], is_dir: bool) -> Column:
+    """match() as an expression."""
     hits = []
     for r in rules:
-        below = F.substring(F.col("path"), F.lit(len(r.scope) + 2), F.length("path")) if r.scope else F.col("path")
-        fits = below.rlike(r.regex) & (F.col("path").startswith(r.scope + "/") if r.scope else F.lit(True))
+        below = F.substring(path, F.lit(len(r.scope) + 2), F.length(path)) if r.scope else path
+        fits = (F.concat(below, F.lit("/")) if is_dir else below).rlike(r.regex)
+        fits = fits & path.startswith(r.scope + "/") if r.scope else fits
         depth = r.scope.count("/") + (r.scope != "")
         hits.append(F.when(fits, F.struct(F.lit(depth).alias("d"), F.lit(r.order).alias("o"), F.lit(not r.include).alias("v"))))
-    if not hits:
+    return F.array_max(F.array_compact(F.array(*hits)))["v"]
+
+
+def verdict(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """files(path) with ignored: true, false or null (no opinion), by the last match of the deepest
+    scope. What lies in an ignored folder is ignored whatever rules say of it. The rules are a constant of
+    the plan; no join."""
+    if not rules:
         return files.withColumn("ignored", F.lit(None).cast("boolean"))
-    best = F.array_max(F.array_compact(F.array(*hits)))
-    return files.withColumn("ignored", best["v"])
+    parts = P.segments(F.col("path"))
+    folders = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+    pruned = F.exists(folders, lambda d: F.coalesce(_opinion(d, rules, True), F.lit(False)))
+    return files.withColumn("ignored", F.when(pruned, True).otherwise(_opinion(F.col("path"), rules, False)))
 
 
 def drop_denied(files: DataFrame) -> DataFrame:

@@ -147,3 +147,25 @@ def test_server():
     assert [g["id"] for g in got] == [1, 2, 3, 4, 5, None]
     assert [t["name"] for t in got[1]["result"]["tools"]] == ["get_context"]
     assert json.loads(got[2]["result"]["content"][0]["text"]) == {"task": "t", "root": "."} and got[3]["result"]["isError"] and got[4]["error"]["code"] == -32601
+
+
+def test_score_of_one_file(spark):
+    body = "def login(user):\n    return user\n"
+    alone = context.score_file(spark, "src/login.py", body, ["login"])
+    assert alone > 0
+    assert context.score_file(spark, "src/login.py", body, ["login"], {"login": 50}) < alone
+    assert context.score_file(spark, "src/login.py", body, ["login"], weights={"login": 0.5}) < alone
+    assert context.score_file(spark, "src/login.py", body, ["absent"]) == 0.0 == context.score_file(spark, "src/login.py", body, [])
+
+
+def test_nothing_stays_in_memory(spark):
+    spark.catalog.clearCache()
+    kept = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = kept()
+    context.get_context(spark, "fix the authentication bug", files=frame(spark, AUTH))
+    assert kept() <= before
+
+
+def test_long_options_with_one_dash(capsys):
+    assert cli.main(["task", "-json"]) == 2 and "usage" in (said := capsys.readouterr().err) and "--json" in said
+    assert cli.main(["task", "-root=x"]) == 2 and "--root=x" in capsys.readouterr().err

@@ -35,4 +35,4 @@ def test_query_equals_sql(spark, db, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(core.queries()) == 38
+    assert len(core.queries()) == len(core.oracle_sql()) == 39

@@ -25,6 +25,13 @@ def test_one_rule_per_feature(spark, line, yes, no):
     assert all(ignore.match(rules, p, False) for p in yes) and not any(ignore.match(rules, p, False) for p in no)
 
 
+def test_what_lies_in_an_ignored_folder_stays_ignored(spark):
+    rules = ignore.compile_rules("", ["de/", "!fr", "*.tmp", "!keep"]) + ignore.compile_rules("sub", ["out"])
+    want = {"h/de/fr/1": True, "h/fr/de": False, "h/fr": False, "de": None, "a.tmp": True, "keep/a.tmp": False, "x.tmp/keep": True, "sub/out/fr": True, "sub": None, "sub/x": None}
+    got = {r["path"]: r["ignored"] for r in ignore.verdict(spark.createDataFrame([(p,) for p in want], "path string"), rules).collect()}
+    assert got == want
+
+
 def test_last_match_and_deeper_scope_win():
     rules = ignore.compile_rules("", ["*.log", "!keep.log", "!", "# c", ""]) + ignore.compile_rules("sub", ["keep.log"])
     assert ignore.match(rules, "a.log", False) and ignore.match(rules, "keep.log", False) is False

@@ -20,7 +20,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices
+from .common import slices, spread_documents
 
 CACHE_ENTRIES = 150_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
@@ -154,4 +154,4 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(spread_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

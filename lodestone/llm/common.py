@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: A side of a join is broadcast only when rows * width stays under this many bytes.
 BROADCAST_BYTES = 24 << 20
 #: Python works on at most so many text bytes (or one row) at once.
@@ -24,6 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for work that is heavy per text: over all cores even where the table is one small file."""
+    return spread(documents(spark, sf_dir))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); where unset, an own one in local mode
     and an error on a cluster, whose machines share no temporary folder."""

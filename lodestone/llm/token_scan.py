@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, materialise, new_path, partitions, slices
+from .common import materialise, new_path, partitions, slices, spread_documents
 
 BLOCK = 1 << 20
 RUN = 1024
@@ -144,7 +144,7 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = write_tokens(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, 50256, "uint16", new_path(spark, "tokens"))
+    rows = write_tokens(spread_documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, 50256, "uint16", new_path(spark, "tokens"))
     manifest, _ = materialise(rows, "manifest")
     counted = count_tokens(manifest.select("file"), 50256)
     return manifest.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens", F.element_at(F.split("file", "/"), -1).alias("file"), "ordinal", "start", "terminated")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, slices
+from .common import materialise, slices, spread_documents
 from .hashing import U, find_words, hash_words, mix, text_buffer
 
 BITS = 18
@@ -302,4 +302,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(spread_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -37,6 +37,14 @@ def test_rules_equal_brute_force(spark, sf):
         assert r["verdict"] in ("allow", "block") and verdict in (None, r["verdict"])
 
 
+def test_each_rule_gives_the_verdict_of_its_contract(spark):
+    """The contract's list in its own words, not read from the code."""
+    want = {"http://a.org/x": ("org/", "allow"), "http://example.org/es/1": ("example.org/es/", "block"), "http://de.example.org/en/12": ("example.org/en/1", "block"), "http://a.com/fr/": ("com/fr/", "allow"), "http://a.com/de/x": ("com/de/", "block")}
+    df = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in uf.filter_urls(df).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_held_out_urls_are_told_apart(spark):
     """Rules removed from half of the hosts: the model must give their verdict back."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")

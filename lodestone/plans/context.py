@@ -156,11 +156,11 @@ def _spans(spark, included: DataFrame, code: DataFrame, edges: DataFrame, terms:
     return strong.union(plain.join(strong.select("path").distinct(), "path", "left_anti"))
 
 
-def excerpts_of(included: DataFrame, code: DataFrame, edges: DataFrame, terms: list[str], cfg: Config = DEFAULT) -> DataFrame:
+def excerpts_of(included: DataFrame, code: DataFrame, edges: DataFrame, terms: list[str], cfg: Config = DEFAULT, hold=DataFrame.persist) -> DataFrame:
     """(path, score, start_line, end_line, text), redacted; at most excerpts_per_file a file."""
     if not terms:
         return included.sparkSession.createDataFrame([], "path string, score double, start_line int, end_line int, text string")
-    merged = bounding.merge_spans(_spans(included.sparkSession, included, code, edges, terms, cfg).distinct(), ["path"], cfg.excerpt_lines)
+    merged = bounding.merge_spans(_spans(included.sparkSession, included, code, edges, terms, cfg), ["path"], cfg.excerpt_lines, hold=hold)
     top = bounding.top_per_group(merged, ["path"], [F.col("weight").desc(), "s"], cfg.excerpts_per_file).drop("rn")
     rows = top.join(included.select("path", "score", "content"), "path")
     body = F.array_join(F.slice(T.lines_of(F.col("content")), F.col("s"), F.col("e") - F.col("s") + 1), "\n")
@@ -329,7 +329,7 @@ def _attach(spark, chosen, files, code, edges, terms, cfg, hold):
     importer = [next((e.split(" imports ")[0] for e in reversed(x["provenance"]) if e.split(" imports ")[1] == x["path"]), None) for x in chosen]
     rows = F.broadcast(spark.createDataFrame([(x["path"], float(x["score"]), i) for x, i in zip(chosen, importer)], "path string, score double, importer string"))
     included = files.join(rows, "path").withColumn("asset", P.asset_like(F.col("path"), F.col("content"), cfg.asset_avg_line))
-    made = hold(excerpts_of(included, code, edges, terms, cfg).coalesce(1))
+    made = hold(excerpts_of(included, code, edges, terms, cfg, hold).coalesce(1))
     kept = bounding.within_budget(made, F.octet_length("text"), ["score", "path", "start_line"], cfg.package_bytes, hold).collect()
     had = {r["path"] for r in made.select("path").distinct().collect()}
     dropped = made.count() - len(kept)

@@ -331,8 +331,8 @@ _SPANS = "x as (select distinct l_suppkey as g, l_orderkey as s, l_orderkey + l_
   select g, min(s) as s, max(e) as e, count(*) as weight from z group by g, k""")
 def merge_spans(spark, sf):
     end = F.col("l_orderkey") + F.col("l_quantity").cast("long")
-    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("s"), end.alias("e")).distinct()
-    return bounding.merge_spans(rows.withColumn("weight", F.lit(1).cast("long")), ["g"])
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("s"), end.alias("e"), F.lit(1).cast("long").alias("weight"))
+    return bounding.merge_spans(rows, ["g"], rows=rows.count())
 
 
 @query("select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id)::int as rn from documents qualify rn <= 3")
